@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import amounts
@@ -66,13 +66,8 @@ def scaler_stats(df: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame) -> DataFrame:
     """Balanced weight per class: n / (classes * class size)."""
     counts = df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    totals = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("classes"))
-    # Scalar subqueries over one row per class.
-    return counts.select(
-        "label",
-        "n",
-        (
-            totals.select("total").scalar()
-            / (totals.select("classes").scalar() * F.col("n"))
-        ).alias("weight"),
-    )
+    # One row per class: the window has a handful of rows.
+    over_classes = Window.partitionBy()
+    total = F.sum("n").over(over_classes)
+    classes = F.count(F.lit(1)).over(over_classes)
+    return counts.select("label", "n", (total / (classes * F.col("n"))).alias("weight"))
