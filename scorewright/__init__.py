@@ -1 +1,9 @@
 """Transaction scoring and model comparison as Spark jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with the job, so executors need no copy of
+# this package (and do not import the parts that only the driver uses).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 # The characters a general text strip removes, and the characters
 # that end a line.  Spark's own trim removes the plain space only.
 BLANKS = (
-    r"\t\n\x0B\x0C\r\x1C\x1D\x1E\x1F \x85\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 LINE_ENDS = r"\r\n|[\n\x0B\x0C\r\x1C\x1D\x1E\x85\x{2028}\x{2029}]"
 
@@ -19,7 +20,7 @@ NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 def strip(text: Column) -> Column:
     """Remove blanks, line ends and other spacing at both ends."""
-    return F.regexp_replace(text, f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def to_number(text: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICES = 4096
-GATHER_LIMIT = 1_000_000
+GATHER_LIMIT = 200_000
 
 
 def _describe(df: DataFrame) -> tuple[int, float, float]:

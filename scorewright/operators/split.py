@@ -43,53 +43,47 @@ def class_quotas(sizes: Mapping[int, int], taken: int) -> dict[int, int]:
     return quotas
 
 
-def _reaching(counts: DataFrame, wanted: DataFrame, order: list[str]) -> list[Row]:
+def _by_class(label: Column, values: Mapping[int, Column]) -> Column:
+    """A constant per class; there are at most MAX_CLASSES."""
+    entries = [part for c, v in sorted(values.items()) for part in (F.lit(c), v)]
+    return F.try_element_at(F.create_map(*entries), label)
+
+
+def _reaching(counts: DataFrame, wanted: Mapping[int, int], order: list[str]) -> list[Row]:
     """Per class, the group in which the running count reaches the wanted one."""
     up_to = (
         Window.partitionBy("label")
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return (
-        counts.withColumn("total", F.sum("n").over(up_to))
-        .join(F.broadcast(wanted), "label")
-        .filter("total >= wanted and total - n < wanted")
-        .collect()
-    )
+    goal = _by_class(F.col("label"), {c: F.lit(w).cast("long") for c, w in wanted.items()})
+    running = counts.withColumns({"total": F.sum("n").over(up_to), "wanted": goal})
+    return running.filter("total >= wanted and total - n < wanted").collect()
 
 
-def _cuts(rows: DataFrame, quotas: dict[int, int], gather_limit: int) -> dict[int, tuple]:
+def _cuts(
+    rows: DataFrame, sizes: Mapping[int, int], quotas: Mapping[int, int], gather_limit: int
+) -> dict[int, tuple]:
     """Per class, the (hash, key) of the last row kept.
 
     ``rows`` has ``label``, ``hash`` and ``key``.  Each pass extends the known hash
     prefix of every class by three digits, until what shares a prefix is small.
-    The side tables have one row per class, so at most MAX_CLASSES.
     """
-    spark = rows.sparkSession
     wanted = {c: q for c, q in quotas.items() if q > 0}
     if not wanted:
         return {}
-    inside = rows
-    for digits in range(PREFIX_STEP, HASH_DIGITS, PREFIX_STEP):
-        prefix = F.substring("hash", 1, digits).alias("prefix")
-        counts = inside.groupBy("label", prefix).agg(F.count(F.lit(1)).alias("n"))
-        targets = spark.createDataFrame(list(wanted.items()), "label int, wanted long")
-        found = _reaching(counts, targets, ["prefix"])
+    inside, largest, digits = rows, max(sizes.values()), 0
+    while largest > gather_limit and digits + PREFIX_STEP < HASH_DIGITS:
+        digits += PREFIX_STEP
+        prefix = F.substring("hash", 1, digits)
+        counts = inside.groupBy("label", prefix.alias("prefix")).agg(F.count("hash").alias("n"))
+        found = _reaching(counts, wanted, ["prefix"])
         wanted = {r["label"]: r["wanted"] - (r["total"] - r["n"]) for r in found}
-        prefixes = spark.createDataFrame(
-            [(r["label"], r["prefix"]) for r in found], "label int, prefix string"
-        )
-        inside = (
-            rows.withColumn("prefix", prefix)
-            .join(F.broadcast(prefixes), ["label", "prefix"], "left_semi")
-            .drop("prefix")
-        )
-        if max(r["n"] for r in found) <= gather_limit:
-            break
+        known = _by_class(F.col("label"), {r["label"]: F.lit(r["prefix"]) for r in found})
+        inside, largest = rows.filter(prefix == known), max(r["n"] for r in found)
     # Copies of a key are one counted group here.
     counts = inside.groupBy("label", "hash", "key").agg(F.count(F.lit(1)).alias("n"))
-    targets = spark.createDataFrame(list(wanted.items()), "label int, wanted long")
-    found = _reaching(counts, targets, ["hash", "key"])
+    found = _reaching(counts, wanted, ["hash", "key"])
     return {r["label"]: (r["hash"], r["key"]) for r in found}
 
 
@@ -136,9 +130,9 @@ def stratified_split(
     def kept(salt: int, cuts: dict[int, tuple]) -> Column:
         return _kept(label_col, order_hash(key_col, salt), key_col, key_type, cuts)
 
-    in_rest = kept(seed, _cuts(rows(df, seed), quotas, gather_limit))
+    in_rest = kept(seed, _cuts(rows(df, seed), sizes, quotas, gather_limit))
     rest = rows(df.filter(in_rest), seed + 1)
-    in_train = kept(seed + 1, _cuts(rest, quotas_train, gather_limit))
+    in_train = kept(seed + 1, _cuts(rest, quotas, quotas_train, gather_limit))
     part = F.when(~in_rest, TEST).when(~in_train, VALIDATION).otherwise(TRAIN)
     return df.withColumn("split", part)
 
@@ -149,18 +143,14 @@ def _kept(
     """Whether a row comes at or before the cut of its class (no cut: nothing kept)."""
     if not cuts:
         return F.lit(False)
-    by_class = F.create_map(
-        *[
-            part
-            for c, (cut_hash, cut_key) in sorted(cuts.items())
-            for part in (
-                F.lit(c),
-                F.struct(F.lit(cut_hash).alias("hash"), F.lit(cut_key).cast(key_type).alias("key")),
-            )
-        ]
-    )
-    cut = F.try_element_at(by_class, label)
     position = F.struct(hashed.alias("hash"), key.alias("key"))
+    cut = _by_class(
+        label,
+        {
+            c: F.struct(F.lit(h).alias("hash"), F.lit(k).cast(key_type).alias("key"))
+            for c, (h, k) in cuts.items()
+        },
+    )
     return F.coalesce(position <= cut, F.lit(False))
 
 

@@ -18,8 +18,10 @@ from scorewright.sources.runlog import log_rows
 
 FOREST, LOGISTIC = "rf", "logreg"
 TREES = 100
-# Trees are grown level by level on the driver, so their depth has to be bounded.
-TREE_DEPTH = 12
+# The driver holds all trees, so their depth has to be bounded.
+TREE_DEPTH = 10
+# Room for the split statistics of one pass: enough for a whole level of all trees.
+LEVEL_MEGABYTES = 1_024
 LOGISTIC_ITERATIONS = 1_000
 
 
@@ -55,6 +57,8 @@ def train_model(
             numTrees=TREES,
             maxDepth=tree_depth,
             featureSubsetStrategy="sqrt",
+            cacheNodeIds=True,
+            maxMemoryInMB=LEVEL_MEGABYTES,
             seed=seed,
         )
     else:

@@ -45,3 +45,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = new_path(spark, name)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scanned table over all cores, where its files give fewer parts than that.
+
+    Only for CPU-heavy work on a plain scan: counting its parts then runs nothing,
+    and a table with so few parts is small enough to move.  Larger ones stay as
+    they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -358,7 +358,7 @@ pairs as (
     round(pow(list_distance(q.embedding::double[], d.embedding::double[]), 2), 6) as distance
   from embeddings q, embeddings d),
 hits as (
-  select p.query_id, p.rk as rank, p.doc_id, coalesce(l.txn_text, '') as text, p.distance
+  select p.query_id, p.rk::int as rank, p.doc_id, coalesce(l.txn_text, '') as text, p.distance
   from (
     select *, row_number() over (partition by query_id order by distance, doc_id) as rk
     from pairs) p

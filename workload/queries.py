@@ -13,8 +13,8 @@ from scorewright.operators import compare, embedding, evaluate, features, quanti
 from scorewright.operators import retrieval, split
 from scorewright.operators.ranking import file_row_index, row_index
 from scorewright.plans import experiment, responding, training
-from scorewright.session import materialise, new_path
-from scorewright.sources import corpus, runlog, transactions
+from scorewright.session import materialise, new_path, spread
+from scorewright.sources import corpus, runlog, transactions, tuning
 from scorewright.streaming import log_metrics
 from workload import fixtures as fx
 
@@ -90,7 +90,7 @@ def log_read_tolerant(spark, sf):
 
 
 def model_save_load(spark, sf):
-    table = materialise(parts(spark, sf), "parts")
+    table = spread(materialise(parts(spark, sf), "parts"))
     fitted = training.train_model(table.filter("split = 'train'"), training.LOGISTIC)
     path = new_path(spark, "model")
     training.save(fitted, path)
@@ -327,8 +327,7 @@ def class_balance(spark, sf):
 
 
 def top_features(spark, sf):
-    train = parts(spark, sf).filter("split = 'train'")
-    fitted = training.train_model(train, training.LOGISTIC)
+    fitted, _ = _fitted(spark, sf, training.LOGISTIC)
     return training.feature_importance(spark, fitted, top_k=10)
 
 
@@ -378,7 +377,7 @@ def disagreement_count(spark, sf):
 
 
 def embed_text(spark, sf):
-    documents = fx.table(spark, sf, "documents").select("doc_id", "text")
+    documents = spread(fx.table(spark, sf, "documents").select("doc_id", "text"))
     fitted = embedding.fit_embedder(documents)
     return embedding.embed(fitted, documents).select("doc_id", "embedding")
 
@@ -454,9 +453,7 @@ def response_json_text(spark, sf):
 
 
 def tuning_examples(spark, sf):
-    train = parts(spark, sf).filter("split = 'train'")
-    text = prompts.tuning_example(F.col("txn_text"), F.col("label"))
-    return train.select("transaction_id", text.alias("text"))
+    return tuning.examples(parts(spark, sf)).select("transaction_id", "text")
 
 
 # ------------------------------------------------------------------ split and models
@@ -471,7 +468,7 @@ def split_hash(spark, sf):
 
 
 def _fitted(spark, sf, kind):
-    table = materialise(parts(spark, sf), "parts")
+    table = spread(materialise(parts(spark, sf), "parts"))
     fitted = training.train_model(table.filter("split = 'train'"), kind)
     return fitted, table.filter("split = 'test'")
 
