@@ -29,8 +29,12 @@ def _value_at(values: DataFrame, rank: int, gather_limit: int, stats: tuple) ->
     """The value at a 0-based rank."""
     count, low, high = stats
     while low < high and count > gather_limit:
-        width = (high - low) / SLICES
-        slice_of = F.least(F.floor((F.col("v") - low) / width), F.lit(SLICES - 1))
+        # Halves, so that the width of a very wide range stays finite.
+        width = (high / 2 - low / 2) / SLICES
+        if width == 0:
+            break
+        offset = (F.col("v") / 2 - F.lit(low / 2)) / F.lit(width)
+        slice_of = F.least(F.floor(offset), F.lit(SLICES - 1))
         slices = (
             values.groupBy(slice_of.alias("slice"))
             .agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
@@ -45,8 +49,8 @@ def _value_at(values: DataFrame, rank: int, gather_limit: int, stats: tuple) ->
         values = values.filter(F.col("v").between(low, high))
     if low == high:
         return low
-    counts = values.groupBy("v").count().orderBy("v").collect()
-    for row in counts:
+    # At most ``gather_limit`` values are left.
+    for row in values.groupBy("v").count().orderBy("v").collect():
         if rank < row["count"]:
             return row["v"]
         rank -= row["count"]
@@ -67,6 +71,8 @@ def quantile_value(
     count = stats[0]
     if count == 0:
         return None
+    if math.isinf(stats[1]) or math.isinf(stats[2]):
+        raise ValueError(f"{column} has infinite values")
     if count <= gather_limit:
         return values.agg(F.percentile("v", share).alias("q")).first()["q"]
     position = share * (count - 1)

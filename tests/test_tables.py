@@ -39,6 +39,13 @@ def test_quantile_between_heavy_values(spark):
     assert quantile.quantile_value(df, "x", 0.5, gather_limit=10) == pytest.approx(1.5)
 
 
+def test_quantile_of_a_wide_range(spark):
+    df = amounts_frame(spark, [-1.7e308, 1.7e308] + [float(i) for i in range(200)])
+    assert quantile.quantile_value(df, "x", 0.5, gather_limit=5) == pytest.approx(99.5)
+    with pytest.raises(ValueError, match="infinite"):
+        quantile.quantile_value(amounts_frame(spark, [1.0, math.inf]), "x", 0.5)
+
+
 def test_quantile_leaves_out_missing(spark):
     df = spark.createDataFrame([(1.0,), (None,), (math.nan,), (3.0,)], "x double")
     assert quantile.quantile_value(df, "x", 0.5) == 2.0
