@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.labels import label_to_int
+from scorewright.operators.skew import HOT_ROWS, hot_keys, spread_join
 
 MAX_MODELS = 1_000
 _LATE = (1 << 61) - 1
@@ -35,6 +36,35 @@ def _class_of(log: DataFrame) -> Column:
     return label_to_int(F.col("predicted_label"), log.schema["predicted_label"].dataType)
 
 
+def _given(log: DataFrame) -> DataFrame:
+    return log.filter("transaction_id is not null and predicted_label is not null")
+
+
+def _first_guesses(log: DataFrame, names: list[str]) -> list[Column]:
+    """Per model, the first logged prediction as text."""
+    guess = F.col("predicted_label")
+    order = F.when(
+        guess.isNotNull(), F.struct(_rank_in_time(log) + (1 - _class_of(log)), guess)
+    )
+    return [F.min_by(guess, F.when(F.col("model_name") == n, order)).alias(n) for n in names]
+
+
+def _first_classes(log: DataFrame, names: list[str]) -> list[Column]:
+    """Per model, the first logged class, 0 or 1.
+
+    Time and class fit into one whole number, so the first prediction is a plain
+    minimum and the aggregation stays hash-based with fixed-size buffers.
+    """
+    packed = F.when(
+        F.col("predicted_label").isNotNull(), _rank_in_time(log) + (1 - _class_of(log))
+    )
+    firsts = [F.min(F.when(F.col("model_name") == n, packed)) for n in names]
+    return [
+        (1 - F.pmod(first, F.lit(2))).cast("int").alias(n)
+        for n, first in zip(names, firsts, strict=True)
+    ]
+
+
 def prediction_pivot(log: DataFrame, names: list[str] | None = None) -> DataFrame:
     """One row per transaction, one column per model: the first logged prediction.
 
@@ -43,30 +73,13 @@ def prediction_pivot(log: DataFrame, names: list[str] | None = None) -> DataFram
     none at all has no row.  All models share one exchange on the transaction.
     """
     names = model_names(log) if names is None else names
-    guess = F.col("predicted_label")
-    order = F.struct(_rank_in_time(log) + (1 - _class_of(log)), guess)
-    columns = [
-        F.min_by(guess, F.when(F.col("model_name") == name, order)).alias(name) for name in names
-    ]
-    return log.filter(guess.isNotNull()).groupBy("transaction_id").agg(*columns)
+    return _given(log).groupBy("transaction_id").agg(*_first_guesses(log, names))
 
 
 def class_pivot(log: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """The pivot with 0/1 classes.
-
-    Time and class fit into one whole number, so the first prediction is a plain
-    minimum and the aggregation stays hash-based with fixed-size buffers.
-    """
+    """The pivot with 0/1 classes."""
     names = model_names(log) if names is None else names
-    packed = _rank_in_time(log) + (1 - _class_of(log))
-    firsts = [
-        F.min(F.when(F.col("model_name") == name, packed)).alias(name) for name in names
-    ]
-    wide = log.filter(F.col("predicted_label").isNotNull()).groupBy("transaction_id").agg(*firsts)
-    return wide.select(
-        "transaction_id",
-        *[(1 - F.pmod(F.col(_quoted(n)), F.lit(2))).cast("int").alias(n) for n in names],
-    )
+    return _given(log).groupBy("transaction_id").agg(*_first_classes(log, names))
 
 
 def _differ(a: Column, b: Column) -> Column:
@@ -74,6 +87,14 @@ def _differ(a: Column, b: Column) -> Column:
     return F.coalesce(a != b, F.lit(True))
 
 
+def _checked(log: DataFrame, names: list[str] | None, *wanted: str) -> list[str]:
+    names = model_names(log) if names is None else names
+    for name in wanted:
+        if name not in names:
+            raise ValueError(f"{name} has no recorded predictions")
+    return names
+
+
 def disagreements(
     log: DataFrame, model_a: str, model_b: str, raw: bool = False, names: list[str] | None = None
 ) -> DataFrame:
@@ -82,10 +103,7 @@ def disagreements(
     Predictions compare as 0/1 classes, because some models log numbers and others
     words; ``raw`` compares and shows them as logged.
     """
-    names = model_names(log) if names is None else names
-    for name in (model_a, model_b):
-        if name not in names:
-            raise ValueError(f"{name} has no recorded predictions")
+    names = _checked(log, names, model_a, model_b)
     wide = prediction_pivot(log, names) if raw else class_pivot(log, names)
     return wide.filter(_differ(F.col(_quoted(model_a)), F.col(_quoted(model_b))))
 
@@ -108,16 +126,52 @@ def _details(log: DataFrame, model: str, with_truth: bool) -> DataFrame:
     )
 
 
+def _left_join(rows: DataFrame, joined: DataFrame, has_details: str) -> DataFrame:
+    """Rows with details as joined, and the rest around the join.
+
+    Whether a row has details is known beforehand, which turns the left join into
+    an inner one: that can broadcast the few rows of a report, or split a hot key.
+    """
+    alone = rows.filter(~F.col(has_details))
+    return joined.unionByName(alone, allowMissingColumns=True).drop(has_details)
+
+
 def disagreement_details(
-    log: DataFrame, model_a: str, model_b: str, rows: int | None = None, raw: bool = False
+    log: DataFrame,
+    model_a: str,
+    model_b: str,
+    rows: int | None = None,
+    raw: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Disagreements with what each model logged; repeated runs give repeated rows."""
-    differing = disagreements(log, model_a, model_b, raw)
+    """Disagreements with what each model logged; repeated runs give repeated rows.
+
+    All of them, or those of the first ``rows`` transactions.
+    """
+    names = _checked(log, None, model_a, model_b)
+    firsts = _first_guesses(log, names) if raw else _first_classes(log, names)
+    logged = [
+        F.bool_or(F.col("model_name") == model).alias(flag)
+        for model, flag in ((model_a, "_in_a"), (model_b, "_in_b"))
+    ]
+    # Rows without a prediction count as details, though not in the pivot.
+    keyed = log.filter(F.col("transaction_id").isNotNull())
+    wide = keyed.groupBy("transaction_id").agg(*firsts, *logged)
+    given = F.coalesce(*[F.col(_quoted(n)) for n in names]).isNotNull()
+    differing = wide.filter(given & _differ(F.col(_quoted(model_a)), F.col(_quoted(model_b))))
+    details_a, details_b = _details(log, model_a, True), _details(log, model_b, False)
     if rows is not None:
-        differing = differing.orderBy("transaction_id").limit(rows)
-    return differing.join(_details(log, model_a, True), "transaction_id", "left").join(
-        _details(log, model_b, False), "transaction_id", "left"
-    )
+        # At most ``rows`` transactions: the log is scanned and not exchanged.
+        top = differing.orderBy("transaction_id").limit(rows)
+        in_a = details_a.join(F.broadcast(top.filter("_in_a")), "transaction_id")
+        with_a = _left_join(top, in_a, "_in_a")
+        in_b = with_a.filter("_in_b").join(details_b, "transaction_id")
+        return _left_join(with_a, in_b, "_in_b")
+    hot = hot_keys(log, "transaction_id", hot_rows)
+    in_a = spread_join(details_a, differing.filter("_in_a"), "transaction_id", hot)
+    with_a = _left_join(differing, in_a, "_in_a")
+    in_b = spread_join(with_a.filter("_in_b"), details_b, "transaction_id", hot)
+    return _left_join(with_a, in_b, "_in_b")
 
 
 def disagreement_count(log: DataFrame, names: list[str] | None = None) -> DataFrame:

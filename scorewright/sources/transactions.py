@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from scorewright.functions.amounts import txn_text, txn_text_short
 from scorewright.functions.labels import label_to_int
 from scorewright.operators.ranking import row_index
+from scorewright.session import materialise
 
 
 def read_table(
@@ -29,6 +30,11 @@ def read_table(
     return reader.format(file_format).load(path)
 
 
+def _landed(df: DataFrame, file_format: str) -> DataFrame:
+    """A CSV once as Parquet: later steps pass over few columns several times."""
+    return materialise(df, "transactions") if file_format == "csv" else df
+
+
 def standardise(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Label as 0/1, a text column, and an id where there is none.
 
@@ -68,13 +74,13 @@ def load_transactions(
     schema: T.StructType | None = None,
     order_by: list[str] | None = None,
 ) -> DataFrame:
-    return standardise(read_table(spark, path, file_format, schema), order_by)
+    return standardise(_landed(read_table(spark, path, file_format, schema), file_format), order_by)
 
 
 def load_transactions_strict(
     spark: SparkSession, path: str, file_format: str = "csv", schema: T.StructType | None = None
 ) -> DataFrame:
-    return standardise_strict(read_table(spark, path, file_format, schema))
+    return standardise_strict(_landed(read_table(spark, path, file_format, schema), file_format))
 
 
 def profile(df: DataFrame) -> DataFrame:

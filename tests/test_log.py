@@ -5,6 +5,7 @@ from conftest import plan_of, values
 from pyspark.sql import functions as F
 
 from scorewright.operators import compare, evaluate
+from scorewright.operators.skew import hot_keys
 from scorewright.schemas import LOG_COLUMNS, LOG_SCHEMA
 from scorewright.sources import runlog
 from scorewright.streaming import log_metrics
@@ -157,11 +158,26 @@ def test_disagreements(spark, mixed):
         compare.disagreements(mixed, "A", "Z")
 
 
-def test_disagreement_details_fan_out(spark, mixed):
-    got = compare.disagreement_details(mixed, "A", "B").orderBy("transaction_id", "pred_A")
-    assert values(got, "transaction_id", "pred_A", "pred_B") == [
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_disagreement_details_fan_out(spark, mixed, hot_rows):
+    got = compare.disagreement_details(mixed, "A", "B", hot_rows=hot_rows)
+    assert values(got.orderBy("transaction_id", "pred_A"), "transaction_id", "pred_A", "pred_B") == [
         (1, None, None), (3, None, None), (5, "0", "FRAUD"), (5, "1", "FRAUD")
     ]
+    first = compare.disagreement_details(mixed, "A", "B", rows=2)
+    assert sorted(values(first, "transaction_id", "true_label")) == [(1, None), (3, 1)]
+
+
+def test_hot_transaction(spark):
+    """One transaction holds a third of the rows of a model."""
+    rows = [(i, 1, "1", "A") for i in range(200)] + [(7, 1, "1", "A", SECOND)] * 100
+    log = log_of(spark, rows + [(i, 1, "0" if i % 5 else "1", "B") for i in range(200)])
+    assert hot_keys(log, "transaction_id", hot_rows=50) == [7]
+    assert hot_keys(log, "transaction_id") == []
+    plain = compare.disagreement_details(log, "A", "B")
+    spread = compare.disagreement_details(log, "A", "B", hot_rows=50)
+    assert spread.exceptAll(plain).count() == 0 and spread.count() == plain.count() == 160 + 100
+    assert spread.filter("transaction_id = 7").count() == 101
 
 
 def test_disagreement_counts(spark, mixed):
