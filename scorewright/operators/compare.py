@@ -161,11 +161,13 @@ def disagreement_details(
     differing = wide.filter(given & _differ(F.col(_quoted(model_a)), F.col(_quoted(model_b))))
     details_a, details_b = _details(log, model_a, True), _details(log, model_b, False)
     if rows is not None:
-        # At most ``rows`` transactions: the log is scanned and not exchanged.
+        # At most ``rows`` transactions: both runs are filtered where they lie.
         top = differing.orderBy("transaction_id").limit(rows)
         in_a = details_a.join(F.broadcast(top.filter("_in_a")), "transaction_id")
         with_a = _left_join(top, in_a, "_in_a")
-        in_b = with_a.filter("_in_b").join(details_b, "transaction_id")
+        wanted = F.broadcast(top.select("transaction_id"))
+        near_b = details_b.join(wanted, "transaction_id", "left_semi")
+        in_b = with_a.filter("_in_b").join(near_b, "transaction_id")
         return _left_join(with_a, in_b, "_in_b")
     hot = hot_keys(log, "transaction_id", hot_rows)
     in_a = spread_join(details_a, differing.filter("_in_a"), "transaction_id", hot)

@@ -80,13 +80,24 @@ def complete(df: DataFrame) -> DataFrame:
     return df.withColumns(fill) if fill else df
 
 
-def read_tolerant(spark: SparkSession, path: str) -> DataFrame | None:
-    """A Parquet log with whatever columns it has, completed; None if there is none."""
+def read_tolerant(
+    spark: SparkSession, path: str, file_format: str = "parquet"
+) -> DataFrame | None:
+    """A log with whatever columns it has, completed; None if there is none.
+
+    Known columns of a CSV log get their types, and null where a value does not fit.
+    """
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(hadoop):
         return None
-    return complete(spark.read.parquet(path))
+    if file_format == "parquet":
+        return complete(spark.read.parquet(path))
+    found = spark.read.options(**_CSV_OPTIONS).csv(path)
+    typed = {
+        f.name: F.col(f.name).try_cast(f.dataType) for f in LOG_SCHEMA if f.name in found.columns
+    }
+    return complete(found.withColumns(typed))
 
 
 def of_model(log: DataFrame, model_name: str) -> DataFrame:

@@ -183,6 +183,12 @@ def test_context(spark):
     }
 
 
+def test_old_context(spark):
+    hits = F.expr("array(named_struct('rank', 1, 'text', 'a'))")
+    got = spark.range(1).select(prompts.old_context_block(hits)).first()[0]
+    assert got == "\n\nRetrieved similar transactions:\nExample 1: \na\n\n\n"
+
+
 def test_tuning_example(spark):
     got = spark.range(1).select(prompts.tuning_example(F.lit("T"), F.lit(1))).first()[0]
     assert got == "Transaction:\nT\n\nIs this fraud? FRAUD"

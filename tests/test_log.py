@@ -75,6 +75,16 @@ def test_tolerant_fill(spark, mixed):
     assert (row["predicted_prob"], row["reason"], row["prompt_variant"]) == (None, "", "")
 
 
+def test_tolerant_csv(spark, tmp_path):
+    path = str(tmp_path / "log.csv")
+    with open(path, "w") as out:
+        out.write("transaction_id,true_label,predicted_label,model_name,extra\n1,x,0,A,z\n2,1,FRAUD,B,\n")
+    log = runlog.read_tolerant(spark, path, "csv").orderBy("transaction_id")
+    assert values(log, "transaction_id", "true_label", "predicted_label", "predicted_prob", "reason", "extra") == [
+        (1, None, "0", None, "", "z"), (2, 1, "FRAUD", None, "", None)
+    ]
+
+
 def test_latest_only(spark, mixed):
     newest = runlog.latest_only(mixed).filter("transaction_id = 5 and model_name = 'A'")
     assert values(newest, "predicted_label") == [("1",)]
