@@ -11,7 +11,10 @@ from scorewright.functions.labels import label_to_int
 from scorewright.operators.skew import HOT_ROWS, hot_keys, spread_join
 
 MAX_MODELS = 1_000
-_LATE = (1 << 61) - 1
+# A logged time, the class and the spelling of a prediction share one whole number:
+# 58 bits of microseconds (beyond the year 9999), one bit, four bits.
+MAX_SPELLINGS = 16
+_LATE = (1 << 58) - 1
 
 
 def model_names(log: DataFrame) -> list[str]:
@@ -26,10 +29,9 @@ def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def _rank_in_time(log: DataFrame) -> Column:
-    """Log time in microseconds, doubled to leave a bit; a missing time comes last."""
-    micros = F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(_LATE))
-    return micros * 2
+def _time(log: DataFrame) -> Column:
+    """Log time in microseconds; a missing time comes last."""
+    return F.coalesce(F.unix_micros(F.col("timestamp").cast("timestamp")), F.lit(_LATE))
 
 
 def _class_of(log: DataFrame) -> Column:
@@ -40,28 +42,37 @@ def _given(log: DataFrame) -> DataFrame:
     return log.filter("transaction_id is not null and predicted_label is not null")
 
 
-def _first_guesses(log: DataFrame, names: list[str]) -> list[Column]:
-    """Per model, the first logged prediction as text."""
-    guess = F.col("predicted_label")
-    order = F.when(
-        guess.isNotNull(), F.struct(_rank_in_time(log) + (1 - _class_of(log)), guess)
-    )
-    return [F.min_by(guess, F.when(F.col("model_name") == n, order)).alias(n) for n in names]
+def _first(name: str, packed: Column) -> Column:
+    """The smallest packed number of one model.
+
+    A plain minimum keeps the aggregation hash-based with fixed-size buffers.
+    """
+    given = (F.col("model_name") == name) & F.col("predicted_label").isNotNull()
+    return F.min(F.when(given, packed))
 
 
 def _first_classes(log: DataFrame, names: list[str]) -> list[Column]:
-    """Per model, the first logged class, 0 or 1.
+    """Per model, the first logged class, 0 or 1."""
+    packed = _time(log) * 2 + (1 - _class_of(log))
+    return [(1 - F.pmod(_first(n, packed), F.lit(2))).cast("int").alias(n) for n in names]
 
-    Time and class fit into one whole number, so the first prediction is a plain
-    minimum and the aggregation stays hash-based with fixed-size buffers.
-    """
-    packed = F.when(
-        F.col("predicted_label").isNotNull(), _rank_in_time(log) + (1 - _class_of(log))
-    )
-    firsts = [F.min(F.when(F.col("model_name") == n, packed)) for n in names]
+
+def _first_guesses(log: DataFrame, names: list[str]) -> list[Column]:
+    """Per model, the first logged prediction as text."""
+    guess, second = F.col("predicted_label"), 1 - _class_of(log)
+    found = _given(log).select("predicted_label").distinct().limit(MAX_SPELLINGS + 1).collect()
+    spellings = sorted(r["predicted_label"] for r in found)
+    if not spellings or len(spellings) > MAX_SPELLINGS:
+        order = F.when(guess.isNotNull(), F.struct(_time(log), second, guess))
+        return [F.min_by(guess, F.when(F.col("model_name") == n, order)).alias(n) for n in names]
+    spelling = F.lit(0)
+    for place, text in enumerate(spellings):
+        spelling = F.when(guess == text, place).otherwise(spelling)
+    packed = (_time(log) * 2 + second) * MAX_SPELLINGS + spelling
+    texts = F.array(*[F.lit(t) for t in spellings])
     return [
-        (1 - F.pmod(first, F.lit(2))).cast("int").alias(n)
-        for n, first in zip(names, firsts, strict=True)
+        F.get(texts, F.pmod(_first(n, packed), F.lit(MAX_SPELLINGS)).cast("int")).alias(n)
+        for n in names
     ]
 
 
@@ -71,6 +82,8 @@ def prediction_pivot(log: DataFrame, names: list[str] | None = None) -> DataFram
     "First" is by log time; at equal times the positive class, then the smaller
     text comes first.  Missing predictions never count, and a transaction with
     none at all has no row.  All models share one exchange on the transaction.
+    The spellings in the log are looked up first: with few of them, as usual, the
+    texts stay out of the aggregation.
     """
     names = model_names(log) if names is None else names
     return _given(log).groupBy("transaction_id").agg(*_first_guesses(log, names))

@@ -145,6 +145,29 @@ def test_pivot(spark, mixed):
     ]
 
 
+def test_pivot_with_many_spellings(spark):
+    rows = [(i % 7, 1, f"guess {i}", "A", f"2024-01-{1 + (i * 11) % 28:02d} 00:00:00") for i in range(28)]
+    many = compare.prediction_pivot(log_of(spark, rows))
+    assert "SortAggregate" in plan_of(many)
+    first = {}
+    for key, _, guess, _, stamp in sorted(rows, key=lambda r: (r[4], r[2])):
+        first.setdefault(key, guess)
+    assert dict(values(many, "transaction_id", "A")) == first
+    few = compare.prediction_pivot(log_of(spark, rows[:14]))
+    assert "SortAggregate" not in plan_of(few)
+    first = {}
+    for key, _, guess, _, stamp in sorted(rows[:14], key=lambda r: (r[4], r[2])):
+        first.setdefault(key, guess)
+    assert dict(values(few, "transaction_id", "A")) == first
+
+
+def test_times_at_the_edges(spark):
+    rows = [(1, 1, "0", "A", "9999-12-31 23:59:59"), (1, 1, "1", "A", None), (2, 0, "x", "A", None)]
+    log = log_of(spark, rows)
+    assert sorted(values(compare.prediction_pivot(log), "transaction_id", "A")) == [(1, "0"), (2, "x")]
+    assert sorted(values(compare.class_pivot(log), "transaction_id", "A")) == [(1, 0), (2, 0)]
+
+
 def test_class_pivot_matches_pivot(spark, sf):
     from workload import fixtures as fx
     from scorewright.functions.labels import word_to_int
