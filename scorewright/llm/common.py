@@ -61,6 +61,16 @@ def gapless(df: DataFrame, group: str, *order: str) -> DataFrame:
     return joined.withColumn("rank", F.col("_0") + F.col("_at") - 1).drop("_0", "_at", "_cell")
 
 
+def fenced(df: DataFrame, *columns: str) -> DataFrame:
+    """The same rows; a later filter on these columns does not reach below this point.
+
+    A filter that moves down takes the expressions of its columns along.  Where those
+    look things up in an array, they would then build that array for each element.
+    """
+    row = F.inline(F.array(F.struct(*columns)))
+    return df.select(*[c for c in df.columns if c not in columns], row)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table in the folder all executors share; later steps do not go back beyond it."""
     return materialise(df, name)

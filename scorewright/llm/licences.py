@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorewright.llm.common import fenced
+
 # What stands between words, the phrases of the base and their labels.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -41,6 +43,7 @@ TEMPLATES = [
      "public domain cc0", ["under law", "public domain"]),
 ]
 
+FOUND = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 RARE_WORDS = 3
 # A candidate is one number: its template above these bits, its start (from -1024) below.
 _BITS = 40
@@ -200,7 +203,7 @@ def scan(df: DataFrame, counts: dict[str, int], text: str = "text") -> DataFrame
         }
     )
     labels = F.concat("_labels", F.transform("_right", lambda v: F.get(names, _template(v))))
-    return rows.withColumns(
+    scanned = rows.withColumns(
         {
             "n_base": F.size("_starts").cast("long"),
             "first_word": (F.array_min("_starts") - F.col("_off")).cast("long"),
@@ -209,7 +212,8 @@ def scan(df: DataFrame, counts: dict[str, int], text: str = "text") -> DataFrame
             "labels": F.array_join(F.array_sort(F.array_distinct(labels)), ","),
             "score": F.coalesce("_share", F.when(F.size("_labels") > 0, 0.5).otherwise(0.0)),
         }
-    ).drop(*[c for c in rows.columns if c.startswith("_")])
+    )
+    return fenced(scanned.select(*df.columns, *FOUND), *FOUND)
 
 
 def _places(toks: Column, parts: list[str]) -> Column:
