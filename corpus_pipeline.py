@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import langid, mixing, packing, simhash
+from scorewright.llm import langid, mixing, packing, passages, simhash
 from scorewright.llm.common import written
 
 # A text whose n-grams fit no learned language better than this is rejected.
@@ -29,6 +29,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.join(first, "doc_id", "left_semi")
 
 
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut out passages that a document with a smaller id has; drop what is then empty."""
+    found = passages.repeated_passages(docs.select("doc_id", "text"))
+    left = passages.without_passages(docs, written(found, "passages"))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample the documents to the target mix of sources, languages and topics."""
     return mixing.mix(docs).filter("sampled").select(*docs.columns)
@@ -43,6 +50,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", language_id),
     ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
     ("mixing", mix),
     ("packing", pack),
 ]

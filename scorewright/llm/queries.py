@@ -5,10 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewright.llm import langid, licences, mixing, packing, quality, sharding, simhash, topk
+from scorewright.llm import (
+    langid,
+    licences,
+    mixing,
+    packing,
+    passages,
+    quality,
+    scoring,
+    sharding,
+    simhash,
+    topk,
+)
 from scorewright.llm.common import documents, held_out, table
 
 LANGUAGE_FOLDS = 4
+MODEL_FOLDS = 7
+
+
+def op1_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf).select("doc_id", "text"))
 
 
 def op2_language(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,6 +40,11 @@ def op3_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.quality(docs, table(spark, sf, "labels")).drop("text")
 
 
+def op4_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    return scoring.lm_scores(docs, held_out(F.col("doc_id"), MODEL_FOLDS))
+
+
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = documents(spark, sf).select("doc_id", "text", "lang", "source")
     return mixing.mix(docs).drop("text")
@@ -57,8 +78,10 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     query.__name__: query
     for query in (
+        op1_passages,
         op2_language,
         op3_quality,
+        op4_scoring,
         op5_mixing,
         op6_simhash,
         op7_packing,
