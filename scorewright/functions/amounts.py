@@ -39,10 +39,11 @@ def log_amount(value: Column) -> Column:
 
 
 def hour(df: DataFrame) -> Column:
-    """Hour of day, 0 to 23, from seconds; 0 when there is no numeric time."""
+    """Hour of day, 0 to 23, from seconds; 0 when there is no numeric time, null for NaN."""
     if "Time" not in df.columns or not _is_number(df, "Time"):
         return F.lit(0.0)
-    seconds = F.col("Time").cast("double")
+    given = F.col("Time").cast("double")
+    seconds = F.when(~F.isnan(given), given)
     return F.pmod(F.floor(seconds / 3600), F.lit(24)).cast("double")
 
 

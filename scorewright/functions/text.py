@@ -30,7 +30,10 @@ def to_number(text: Column) -> Column:
 
 
 def float_text(number: Column) -> Column:
-    """A double as its shortest plain decimal text (``1.0E7`` is ``10000000.0``)."""
+    """A double as its shortest text: plain from 1e-4 to 1e16 (``10000000.0``), else ``1e-05``.
+
+    The digits are the JVM's, which has a digit too many for a few numbers.
+    """
     size = F.abs(number)
     plain = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), "0+$", "")
     return (
@@ -39,5 +42,17 @@ def float_text(number: Column) -> Column:
             (size >= 1e-4) & (size < 1e16),
             F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain),
         )
+        .when(size < float("inf"), _with_exponent(number.cast("string")))
         .otherwise(number.cast("string"))
     )
+
+
+def _with_exponent(text: Column) -> Column:
+    """``1.0E-5`` as ``1e-05``, ``2.5E16`` as ``2.5e+16``."""
+    power = F.regexp_extract(text, "E(-?[0-9]+)$", 1).cast("int")
+    digits = F.abs(power).cast("string")
+    return F.concat(
+        F.regexp_replace(F.split(text, "E")[0], r"[.]0$", ""),
+        F.when(power < 0, "e-").otherwise("e+"),
+        F.when(F.length(digits) < 2, F.concat(F.lit("0"), digits)).otherwise(digits),
+    )

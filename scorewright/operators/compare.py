@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from scorewright.functions.labels import label_to_int
 from scorewright.operators.skew import HOT_ROWS, hot_keys, spread_join
 
-MAX_MODELS = 1_000
 # A logged time, the class and the spelling of a prediction share one whole number:
 # 58 bits of microseconds (beyond the year 9999), one bit, four bits.
 MAX_SPELLINGS = 16
@@ -18,11 +17,9 @@ _LATE = (1 << 58) - 1
 
 
 def model_names(log: DataFrame) -> list[str]:
-    """Sorted names of the models in the log; they become columns, so their number is bounded."""
-    rows = log.select("model_name").distinct().limit(MAX_MODELS + 1).collect()
-    if len(rows) > MAX_MODELS:
-        raise ValueError(f"more than {MAX_MODELS} models in the log")
-    return sorted(r["model_name"] for r in rows if r["model_name"] is not None)
+    """Sorted names of the models in the log; they become columns."""
+    rows = log.filter("model_name is not null").select("model_name").distinct().collect()
+    return sorted(r["model_name"] for r in rows)
 
 
 def _quoted(name: str) -> str:
@@ -192,28 +189,32 @@ def disagreement_details(
 def disagreement_count(log: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Disagreeing transactions for every pair of models.
 
-    Transactions are first counted per pattern of predictions.  Models are few, so
-    patterns are few, and pairs are formed from patterns instead of transactions.
+    Two models disagree wherever their classes are not the same, so the transactions
+    on which they agree are counted and taken from all.  A transaction's classes are
+    one short list; equal lists are counted before pairs are formed from them, and the
+    plan does not grow with the models.
     """
     names = model_names(log) if names is None else names
-    pairs = list(combinations(sorted(names), 2))
-    schema = "model_a string, model_b string, n long"
-    if not pairs:
-        return log.sparkSession.createDataFrame([], schema)
-    columns = [_quoted(n) for n in names]
-    patterns = class_pivot(log, names).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
-    per_pair = [
-        F.struct(
-            F.lit(a).alias("model_a"),
-            F.lit(b).alias("model_b"),
-            F.when(_differ(F.col(_quoted(a)), F.col(_quoted(b))), F.col("_n"))
-            .otherwise(0)
-            .alias("n"),
-        )
-        for a, b in pairs
-    ]
-    return (
-        patterns.select(F.inline(F.array(*per_pair)))
-        .groupBy("model_a", "model_b")
-        .agg(F.sum("n").alias("n"))
+    spark = log.sparkSession
+    if len(set(names)) < 2:
+        return spark.createDataFrame([], "model_a string, model_b string, n long")
+    given = _given(log)
+    packed = _time(log) * 2 + (1 - _class_of(log))
+    firsts = given.groupBy("transaction_id", "model_name").agg(F.min(packed).alias("p"))
+    named = F.struct(F.pmod("p", F.lit(2)).alias("c"), F.col("model_name").alias("m"))
+    known = F.filter(F.collect_list(named), lambda x: x["m"].isNotNull())
+    patterns = firsts.groupBy("transaction_id").agg(F.sort_array(known).alias("classes"))
+    patterns = patterns.groupBy("classes").agg(F.count(F.lit(1)).alias("n"))
+    one = patterns.select("classes", "n", F.explode("classes").alias("a"))
+    two = one.select("n", "a", F.explode("classes").alias("b"))
+    same = two.filter("a.c = b.c and a.m < b.m").groupBy(
+        F.col("a.m").alias("model_a"), F.col("b.m").alias("model_b")
+    )
+    equal = same.agg(F.sum("n").alias("equal"))
+    all_ids = patterns.agg(F.sum("n").alias("n")).first()["n"] or 0
+    pairs = list(combinations(sorted(set(names)), 2))
+    wanted = spark.createDataFrame(pairs, "model_a string, model_b string")
+    rest = F.lit(all_ids) - F.coalesce("equal", F.lit(0))
+    return wanted.join(equal, ["model_a", "model_b"], "left").select(
+        "model_a", "model_b", rest.cast("long").alias("n")
     )

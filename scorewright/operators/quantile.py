@@ -18,13 +18,6 @@ SLICES = 4096
 GATHER_LIMIT = 200_000
 
 
-def _describe(df: DataFrame) -> tuple[int, float, float]:
-    row = df.agg(
-        F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")
-    ).first()
-    return row["n"], row["low"], row["high"]
-
-
 def _value_at(values: DataFrame, rank: int, gather_limit: int, stats: tuple) -> float:
     """The value at a 0-based rank."""
     count, low, high = stats
@@ -62,25 +55,43 @@ def quantile_value(
 ) -> float | None:
     """Quantile with linear interpolation between neighbours; None without values.
 
-    Nulls and NaN are left out.  Runs one small aggregation, plus one per
-    narrowing pass when more than ``gather_limit`` values remain.
+    Nulls and NaN are left out; infinite values rank below and above all others.
+    Runs one small aggregation, one per narrowing pass when more than
+    ``gather_limit`` values remain, and one for the neighbour above.
     """
     value = F.col(column).cast("double")
     values = df.select(value.alias("v")).filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    stats = _describe(values)
-    count = stats[0]
-    if count == 0:
+    is_finite = F.abs("v") < math.inf
+    row = values.agg(
+        F.count("v").alias("all"),
+        F.count_if(F.col("v") == -math.inf).alias("under"),
+        F.count_if(is_finite).alias("n"),
+        F.min(F.when(is_finite, F.col("v"))).alias("low"),
+        F.max(F.when(is_finite, F.col("v"))).alias("high"),
+    ).first()
+    if row["all"] == 0:
         return None
-    if math.isinf(stats[1]) or math.isinf(stats[2]):
-        raise ValueError(f"{column} has infinite values")
-    if count <= gather_limit:
+    finite, beyond = values.filter(is_finite), row["under"] + row["n"]
+    if row["n"] == row["all"] <= gather_limit:
         return values.agg(F.percentile("v", share).alias("q")).first()["q"]
-    position = share * (count - 1)
+    position = share * (row["all"] - 1)
     below, above = math.floor(position), math.ceil(position)
-    low = _value_at(values, below, gather_limit, stats)
-    if below == above:
+    if below < row["under"]:
+        low = -math.inf
+    elif below >= beyond:
+        low = math.inf
+    else:
+        stats = (row["n"], row["low"], row["high"])
+        low = _value_at(finite, below - row["under"], gather_limit, stats)
+    if below == above or low == math.inf:
+        return low
+    if above < row["under"]:
         return low
-    high = _value_at(values, above, gather_limit, stats)
+    if above >= beyond:
+        return math.inf
+    up_to = F.count_if(F.col("v") <= low).alias("up_to")
+    after = finite.agg(up_to, F.min(F.when(F.col("v") > low, F.col("v"))).alias("next")).first()
+    high = low if above - row["under"] < after["up_to"] else after["next"]
     return (above - position) * low + (position - below) * high
 
 

@@ -87,12 +87,18 @@ def _cuts(
     return {r["label"]: (r["hash"], r["key"]) for r in found}
 
 
-def class_sizes(df: DataFrame, label: str) -> dict[int, int]:
-    rows = df.groupBy(F.col(label).alias("label")).count().limit(MAX_CLASSES + 1).collect()
+def class_sizes(df: DataFrame, label: str, key: str | None = None) -> dict[int, int]:
+    lost = F.count_if(F.col(key).isNull()) if key else F.lit(0)
+    counts = df.groupBy(F.col(label).alias("label")).agg(
+        F.count(F.lit(1)).alias("count"), lost.alias("lost")
+    )
+    rows = counts.limit(MAX_CLASSES + 1).collect()
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes in {label}: not a class label")
     if any(r["label"] is None for r in rows):
         raise ValueError(f"{label} has missing values; every row needs a class")
+    if any(r["lost"] for r in rows):
+        raise ValueError(f"{key} has missing values; every row needs an id")
     return {r["label"]: r["count"] for r in rows}
 
 
@@ -110,7 +116,7 @@ def stratified_split(
     The counts run at once; the returned frame is lazy and keeps the partitioning
     of ``df``.  Rows with equal keys always land in the same part.
     """
-    sizes = class_sizes(df, label)
+    sizes = class_sizes(df, label, key)
     total = sum(sizes.values())
     n_test = math.ceil(total * test_percent / 100)
     n_val = math.ceil((total - n_test) * val_percent / (100 - test_percent))

@@ -25,6 +25,12 @@ LEVEL_MEGABYTES = 1_024
 LOGISTIC_ITERATIONS = 1_000
 
 
+def _given(name: str) -> Column:
+    """An input of a model; what is missing or infinite counts as 0, when fitted and scored."""
+    value = F.col(name).cast("double")
+    return F.when(F.abs(value) < float("inf"), value).otherwise(0.0)
+
+
 def weighted(train: DataFrame) -> tuple[DataFrame, int]:
     """Inputs, label and balanced class weight; and the number of rows.
 
@@ -34,7 +40,7 @@ def weighted(train: DataFrame) -> tuple[DataFrame, int]:
     weight = F.lit(None).cast("double")
     for row in weights:
         weight = F.when(F.col("label") == row["label"], row["weight"]).otherwise(weight)
-    inputs = [F.col(c).cast("double").alias(c) for c in MODEL_INPUTS]
+    inputs = [_given(c).alias(c) for c in MODEL_INPUTS]
     rows = train.select(*inputs, F.col("label").cast("double").alias("label"))
     return rows.withColumn("weight", weight), sum(r["n"] for r in weights)
 
@@ -85,10 +91,10 @@ def train_model(
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Add the probability of class 1 and the predicted class."""
-    scored = model.transform(df)
-    return scored.select(
-        *df.columns, vector_to_array("probability").getItem(1).alias("predicted_prob")
+    """Add the probability of class 1 and the predicted class to every row."""
+    rows = df.select(F.struct(*df.columns).alias("row"), *[_given(c).alias(c) for c in MODEL_INPUTS])
+    return model.transform(rows).select(
+        "row.*", vector_to_array("probability").getItem(1).alias("predicted_prob")
     ).withColumn("predicted_label", at_threshold(F.col("predicted_prob")))
 
 
