@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.labels import label_to_int
-from scorewright.operators.skew import HOT_ROWS, hot_keys, spread_join
+from scorewright.operators.skew import HOT_ROWS, hot_keys, placed, spread_join
 
 # A logged time, the class and the spelling of a prediction share one whole number:
 # 58 bits of microseconds (beyond the year 9999), one bit, four bits.
@@ -17,8 +17,9 @@ _LATE = (1 << 58) - 1
 
 
 def model_names(log: DataFrame) -> list[str]:
-    """Sorted names of the models in the log; they become columns."""
-    rows = log.filter("model_name is not null").select("model_name").distinct().collect()
+    """Sorted names of the models with a recorded prediction; they become columns."""
+    given = log.filter("model_name is not null and predicted_label is not null")
+    rows = given.select("model_name").distinct().collect()
     return sorted(r["model_name"] for r in rows)
 
 
@@ -156,7 +157,9 @@ def disagreement_details(
 ) -> DataFrame:
     """Disagreements with what each model logged; repeated runs give repeated rows.
 
-    All of them, or those of the first ``rows`` transactions.
+    All of them, or those of the first ``rows`` transactions.  Each run of one model
+    stands next to each run of the other, so runs multiply; ``runlog.latest_only``
+    beforehand leaves one of each.
     """
     names = _checked(log, None, model_a, model_b)
     firsts = _first_guesses(log, names) if raw else _first_classes(log, names)
@@ -180,10 +183,10 @@ def disagreement_details(
         in_b = with_a.filter("_in_b").join(near_b, "transaction_id")
         return _left_join(with_a, in_b, "_in_b")
     hot = hot_keys(log, "transaction_id", hot_rows)
-    in_a = spread_join(details_a, differing.filter("_in_a"), "transaction_id", hot)
+    in_a = spread_join(placed(details_a), differing.filter("_in_a"), "transaction_id", hot)
     with_a = _left_join(differing, in_a, "_in_a")
     in_b = spread_join(with_a.filter("_in_b"), details_b, "transaction_id", hot)
-    return _left_join(with_a, in_b, "_in_b")
+    return _left_join(with_a, in_b, "_in_b").drop("_spot")
 
 
 def disagreement_count(log: DataFrame, names: list[str] | None = None) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
@@ -23,20 +23,26 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list:
     return [entry["item"] for entry in row["top"] or [] if entry["count"] >= enough]
 
 
-def _salted(df: DataFrame, key: str, hot: list, salt: Column) -> DataFrame:
-    return df.withColumn("_salt", F.when(F.col(key).isin(hot), salt).otherwise(0))
+def placed(scan: DataFrame) -> DataFrame:
+    """Add ``_spot``, a part from 0 to 63, by the position of a row in its scan.
+
+    Equal rows get different parts, which a hash of their columns would not give them.
+    """
+    at = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))
+    return scan.withColumn("_spot", at.cast("int"))
 
 
 def spread_join(many: DataFrame, few: DataFrame, key: str, hot: list) -> DataFrame:
     """Inner join in which rows of hot keys on the ``many`` side go to several tasks.
 
-    The ``few`` side is repeated for the hot keys only.
+    ``many`` has ``_spot``, see ``placed``; the ``few`` side is repeated for the hot
+    keys only.
     """
     if not hot:
         return many.join(few, key)
-    scattered = F.pmod(F.xxhash64(*many.columns), F.lit(SALTS)).cast("int")
+    scattered = F.when(F.col(key).isin(hot), F.coalesce("_spot", F.lit(0))).otherwise(0)
     everywhere = F.when(F.col(key).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1)))
     repeated = few.withColumn(
         "_salt", F.explode(F.coalesce(everywhere, F.array(F.lit(0))))
     )
-    return _salted(many, key, hot, scattered).join(repeated, [key, "_salt"]).drop("_salt")
+    return many.withColumn("_salt", scattered).join(repeated, [key, "_salt"]).drop("_salt")

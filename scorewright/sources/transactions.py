@@ -35,6 +35,19 @@ def _landed(df: DataFrame, file_format: str) -> DataFrame:
     return materialise(df, "transactions") if file_format == "csv" else df
 
 
+# What fixes the row order of a file scan: the file, the block read of it, the place in the task.
+_FILE_ORDER = ["_file", "_block", "_slot"]
+
+
+def _with_file_order(scan: DataFrame) -> DataFrame:
+    place = [
+        F.col("_metadata.file_path"),
+        F.col("_metadata.file_block_start"),
+        F.monotonically_increasing_id(),
+    ]
+    return scan.select("*", *[c.alias(n) for c, n in zip(place, _FILE_ORDER)])
+
+
 def standardise(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     """Label as 0/1, a text column, and an id where there is none.
 
@@ -74,7 +87,12 @@ def load_transactions(
     schema: T.StructType | None = None,
     order_by: list[str] | None = None,
 ) -> DataFrame:
-    return standardise(_landed(read_table(spark, path, file_format, schema), file_format), order_by)
+    """A transaction table; one without ids is numbered by ``order_by``, else in file order."""
+    source = read_table(spark, path, file_format, schema)
+    if order_by or "transaction_id" in source.columns:
+        return standardise(_landed(source, file_format), order_by)
+    rows = row_index(_landed(_with_file_order(source), file_format), _FILE_ORDER)
+    return standardise(rows.drop(*_FILE_ORDER))
 
 
 def load_transactions_strict(

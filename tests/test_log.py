@@ -5,7 +5,7 @@ from conftest import plan_of, values
 from pyspark.sql import functions as F
 
 from scorewright.operators import compare, evaluate
-from scorewright.operators.skew import hot_keys
+from scorewright.operators.skew import hot_keys, placed
 from scorewright.schemas import LOG_COLUMNS, LOG_SCHEMA
 from scorewright.sources import runlog
 from scorewright.streaming import log_metrics
@@ -201,6 +201,19 @@ def test_disagreement_details_fan_out(spark, mixed, hot_rows):
     assert sorted(values(first, "transaction_id", "true_label")) == [(1, None), (3, 1)]
 
 
+def test_equal_rows_of_a_hot_key_go_to_all_parts(spark):
+    rows = placed(spark.range(6_400, numPartitions=2).selectExpr("7 as transaction_id"))
+    counts = rows.groupBy("_spot").count().collect()
+    assert sorted(r["_spot"] for r in counts) == list(range(64))
+    assert {r["count"] for r in counts} == {100}
+
+
+def test_model_without_a_recorded_prediction(spark, mixed):
+    silent = mixed.withColumns({"model_name": F.lit("Z"), "predicted_label": F.lit(None).cast("string")})
+    with pytest.raises(ValueError, match="no recorded predictions"):
+        compare.disagreements(mixed.unionByName(silent), "A", "Z")
+
+
 def test_hot_transaction(spark):
     """One transaction holds a third of the rows of a model."""
     rows = [(i, 1, "1", "A") for i in range(200)] + [(7, 1, "1", "A", SECOND)] * 100

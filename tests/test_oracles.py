@@ -6,7 +6,8 @@ from workload.check import compare, database
 from workload.oracles import ORACLES
 from workload.queries import QUERIES
 
-SLOW = {"full_experiment", "train_random_forest", "feature_importance"}
+TRAINING = {"full_experiment", "train_random_forest", "feature_importance"}
+SLOW = TRAINING | {f"{name}_checked" for name in TRAINING}
 
 
 @pytest.fixture(scope="module")

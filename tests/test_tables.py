@@ -91,6 +91,17 @@ def test_load_from_csv(spark, tmp_path):
     assert values(strict, "label", "txn_text") == [(0, "Time: 0.0 — Amount: $149.62")]
 
 
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_load_without_ids_numbers_rows_in_file_order(spark, tmp_path, kind):
+    path = str(tmp_path / kind)
+    rows = spark.range(500, numPartitions=5).select(
+        F.col("id").alias("at"), F.lit(1.5).alias("Amount"), (F.col("id") % 2).alias("Class")
+    )
+    rows.write.format(kind).option("header", True).save(path)
+    loaded = transactions.load_transactions(spark, path, kind).orderBy("at")
+    assert values(loaded, "transaction_id", "at") == [(i, i) for i in range(500)]
+
+
 def test_load_refuses(spark, tmp_path):
     with pytest.raises(ValueError):
         transactions.load_transactions(spark, "  ")

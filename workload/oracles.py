@@ -55,11 +55,92 @@ def _pair_counts() -> str:
     return f"with {fx.FIRST_SQL} " + " union all ".join(selects)
 
 
+INPUTS = ("amount", "log_amount", "hour", "is_high_amount")
+KNOWN_CLASSES = with_split(
+    """select transaction_id, is_high_amount as label, is_high_amount as predicted_label,
+      true as in_range from parts where split = 'test'"""
+)
+RULE_RUN = "LOCAL_LOCAL_LLAMA_team_rule"
+
+
+def _details_of(source: str, log: str, wanted: str) -> str:
+    return f"""with {fx.FIRST_SQL}, {source}
+        select d.*, a.true_label,
+          a.predicted_label as "pred_{fx.FOREST}", a.predicted_prob as "prob_{fx.FOREST}",
+          a.reason as "reason_{fx.FOREST}", b.predicted_label as "pred_{fx.CLOUD}",
+          b.predicted_prob as "prob_{fx.CLOUD}", b.reason as "reason_{fx.CLOUD}"
+        from ({wanted}) d
+        left join {log} a on a.transaction_id = d.transaction_id and a.model_name = '{fx.FOREST}'
+        left join {log} b on b.transaction_id = d.transaction_id and b.model_name = '{fx.CLOUD}'"""
+
+
 ORACLES: dict[str, str] = {
     "load_transactions": with_txn(
         """select transaction_id, "Time", "Amount", event_type, user_id, label, txn_text
         from loaded"""
     ),
+    "load_transactions_csv": with_txn(
+        """select row_number() over (order by transaction_id) - 1 as transaction_id,
+          transaction_id as event_id, "Time", "Amount", label from loaded"""
+    ),
+    "model_save_load_checked": with_split(
+        "select transaction_id, split, true as same from parts"
+    ),
+    "disagreement_details_latest": _details_of(
+        """latest as (
+          select * from log qualify row_number() over (
+            partition by transaction_id, model_name order by "timestamp" desc) = 1),
+        last_classes as (
+          select transaction_id, """
+        + ", ".join(f'''max(case when predicted_label is not null then guess end)
+            filter (model_name = '{m}') as "{m}"''' for m in fx.MODELS)
+        + " from latest group by transaction_id)",
+        "latest",
+        f"select * from last_classes where {PAIR}",
+    ),
+    "disagreement_details_page": _details_of(
+        "one as (select 1)",
+        "log",
+        f"select * from classes where {PAIR} order by transaction_id limit 20",
+    ),
+    "disagreements_raw": f"""with {fx.FIRST_SQL} select * from wide where {PAIR}""",
+    "top_features_checked": " union all ".join(
+        f"select '{c}' as feature, {str(c == 'hour').lower()} as is_least" for c in INPUTS
+    ),
+    "embed_text_checked": "select doc_id, 64 as n_dims, true as unit from documents",
+    "train_random_forest_checked": KNOWN_CLASSES,
+    "train_logistic_checked": KNOWN_CLASSES,
+    "feature_importance_checked": " union all ".join(
+        f"select '{c}' as feature, {str(c == 'hour').lower()} as is_least, 1.0::double as total"
+        for c in INPUTS
+    ),
+    "score_and_log_checked": with_split(
+        f"""select transaction_id, is_high_amount as true_label,
+          is_high_amount::varchar as predicted_label, '{fx.LOGISTIC}' as model_name,
+          true as in_range from parts where split = 'test'"""
+    ),
+    "scoring_stats_checked": with_split(
+        f"select '{fx.LOGISTIC}' as model_name, count(*) as n from parts where split = 'test'"
+    ),
+    "batch_respond": with_txn(
+        f"""select transaction_id, label as true_label,
+          case when "Amount" > 60 then 'FRAUD' else 'NOT_FRAUD' end as predicted_label,
+          printf('%.2f', least(0.99::double, 0.5::double + abs("Amount" - 60) / 200))::double
+            as predicted_prob,
+          '{fx.LOCAL}' as model_name, 'few_shot' as prompt_variant,
+          'amount ' || printf('%.2f', "Amount") as reason, '{fx.STAMP}' as "timestamp"
+        from loaded"""
+    ),
+    "full_experiment_checked": with_split(
+        f""", test as (select label, amount > 60 as guess from parts where split = 'test'),
+        runs as (select unnest(['{fx.FOREST}', '{fx.LOGISTIC}', '{RULE_RUN}']) as model_name)
+        select model_name, sum(label)::bigint as support, count(*) as n,
+          case when model_name = '{RULE_RUN}' then count(*) filter (label = 1 and guess) end as tp,
+          case when model_name = '{RULE_RUN}' then count(*) filter (label = 0 and guess) end as fp,
+          case when model_name = '{RULE_RUN}' then count(*) filter (label = 1 and not guess) end as fn,
+          case when model_name = '{RULE_RUN}' then count(*) filter (label = 0 and not guess) end as tn
+        from test, runs group by model_name"""
+    ),
     "load_transactions_strict": with_txn(
         """select transaction_id, "Time", "Amount", quality, toxic as label,
           'Time: ' || "Time"::varchar || ' — Amount: $' || "Amount"::varchar as txn_text

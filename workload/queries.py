@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorewright.functions import amounts, labels, names, prompts, responses
@@ -49,6 +49,18 @@ def load_transactions(spark, sf):
     )
 
 
+def load_transactions_csv(spark, sf):
+    """A CSV with a Class column and no ids, numbered in file order."""
+    path = new_path(spark, "raw-csv")
+    raw = fx.txn(spark, sf).withColumnRenamed("transaction_id", "event_id")
+    ordered = raw.orderBy("event_id").select("event_id", "Time", "Amount", F.col("label").alias("Class"))
+    ordered.write.option("header", True).csv(path)
+    schema = "event_id long, Time double, Amount double, Class string"
+    return transactions.load_transactions(spark, path, schema=schema).select(
+        "transaction_id", "event_id", "Time", "Amount", "label"
+    )
+
+
 def load_transactions_strict(spark, sf):
     """Most transactions have no quality label, and the strict load drops those."""
     marks = fx.table(spark, sf, "labels").withColumnRenamed("doc_id", "transaction_id")
@@ -98,6 +110,19 @@ def model_save_load(spark, sf):
     return again.select("transaction_id", "split", "predicted_prob", "predicted_label")
 
 
+def model_save_load_checked(spark, sf):
+    """Whether a saved and loaded model scores every row as before."""
+    table = spread(materialise(parts(spark, sf), "parts"))
+    fitted = training.train_model(table.filter("split = 'train'"), training.LOGISTIC)
+    path = new_path(spark, "model")
+    training.save(fitted, path)
+    found = F.struct("predicted_prob", "predicted_label")
+    before = training.score(fitted, table).select("transaction_id", "split", found.alias("a"))
+    after = training.score(training.load(path), table).select("transaction_id", found.alias("b"))
+    same = F.col("a").eqNullSafe(F.col("b")).alias("same")
+    return before.join(after, "transaction_id").select("transaction_id", "split", same)
+
+
 def corpus_build(spark, sf):
     documents = fx.table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("doc_id"), "text"
@@ -331,6 +356,12 @@ def top_features(spark, sf):
     return training.feature_importance(spark, fitted, top_k=10)
 
 
+def top_features_checked(spark, sf):
+    """The inputs of a fit on a known label; the one that says least about it."""
+    fitted, _ = _fitted_known(spark, sf, training.LOGISTIC)
+    return training.feature_importance(spark, fitted).select("feature", _is_least())
+
+
 def disagreements_top(spark, sf):
     return compare.disagreements_top(fx.run_log(spark, sf), *PAIR, rows=20)
 
@@ -382,6 +413,15 @@ def embed_text(spark, sf):
     return embedding.embed(fitted, documents).select("doc_id", "embedding")
 
 
+def embed_text_checked(spark, sf):
+    """The length of each vector, and whether it has length one (or zero, without any words)."""
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    unit = (F.abs(norm - 1) < 1e-3) | (norm == 0)
+    return embed_text(spark, sf).select(
+        "doc_id", F.size("embedding").alias("n_dims"), unit.alias("unit")
+    )
+
+
 def prompt_base(spark, sf):
     text = prompts.base_prompt(F.col("txn_text"))
     return fx.loaded(spark, sf).select("transaction_id", text.alias("prompt"))
@@ -473,6 +513,32 @@ def _fitted(spark, sf, kind):
     return fitted, table.filter("split = 'test'")
 
 
+def _fitted_known(spark, sf, kind):
+    """A fit on a label that one of the inputs is, so that each row's class is known."""
+    known = parts(spark, sf).withColumn("label", F.col("is_high_amount"))
+    table = spread(materialise(known, "parts"))
+    fitted = training.train_model(table.filter("split = 'train'"), kind)
+    return fitted, table.filter("split = 'test'")
+
+
+def _in_range() -> Column:
+    return F.col("predicted_prob").between(0, 1).alias("in_range")
+
+
+def _is_least() -> Column:
+    """Of a model's few inputs the one with the least importance."""
+    return (F.rank().over(Window.orderBy("importance")) == 1).alias("is_least")
+
+
+def _classes_known(kind: str) -> Query:
+    def query(spark, sf):
+        fitted, test = _fitted_known(spark, sf, kind)
+        scored = training.score(fitted, test)
+        return scored.select("transaction_id", "label", "predicted_label", _in_range())
+
+    return query
+
+
 def train_random_forest(spark, sf):
     fitted, test = _fitted(spark, sf, training.FOREST)
     return training.score(fitted, test).select("transaction_id", "label", "predicted_prob")
@@ -488,6 +554,25 @@ def feature_importance(spark, sf):
     return training.feature_importance(spark, fitted)
 
 
+def feature_importance_checked(spark, sf):
+    fitted, _ = _fitted_known(spark, sf, training.FOREST)
+    total = F.round(F.sum("importance").over(Window.partitionBy()), EXACT).alias("total")
+    return training.feature_importance(spark, fitted).select("feature", _is_least(), total)
+
+
+def score_and_log_checked(spark, sf):
+    fitted, test = _fitted_known(spark, sf, training.LOGISTIC)
+    path = new_path(spark, "log")
+    runlog.append(training.score_to_log(fitted, test, fx.LOGISTIC), path)
+    return runlog.read(spark, path).select(
+        "transaction_id", "true_label", "predicted_label", "model_name", _in_range()
+    )
+
+
+def scoring_stats_checked(spark, sf):
+    return scoring_stats(spark, sf).select("model_name", "n")
+
+
 def score_and_log(spark, sf):
     fitted, test = _fitted(spark, sf, training.LOGISTIC)
     path = new_path(spark, "log")
@@ -515,6 +600,29 @@ def full_experiment(spark, sf):
     )
 
 
+def full_experiment_checked(spark, sf):
+    """All counts of the text model, whose rule SQL can follow; rows and support of the fits."""
+    rule = ~F.col("model_name").isin(experiment.FOREST_RUN, experiment.LOGISTIC_RUN)
+    counts = [F.when(rule, F.col(c)).alias(c) for c in ("tp", "fp", "fn", "tn")]
+    rows = (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n")
+    return full_experiment(spark, sf).select("model_name", "support", rows, *counts)
+
+
+def disagreement_details_latest(spark, sf):
+    """The last run of each model only, so that every transaction has one row."""
+    return compare.disagreement_details(runlog.latest_only(fx.run_log(spark, sf)), *PAIR)
+
+
+def disagreement_details_page(spark, sf):
+    """The first transactions only, as a page shows them."""
+    return compare.disagreement_details(fx.run_log(spark, sf), *PAIR, rows=20)
+
+
+def disagreements_raw(spark, sf):
+    """Compared and shown as logged."""
+    return compare.disagreements(fx.run_log(spark, sf), *PAIR, raw=True)
+
+
 def log_metrics_stream(spark, sf):
     """The log followed as a stream; the last batch holds the metrics of all rows."""
     path = new_path(spark, "streamed-log")
@@ -529,6 +637,7 @@ def log_metrics_stream(spark, sf):
 QUERIES: dict[str, Query] = {
     # sources and sinks
     "load_transactions": load_transactions,
+    "load_transactions_csv": load_transactions_csv,
     "load_transactions_strict": load_transactions_strict,
     "row_index": numbered_by_amount,
     "row_index_file_order": numbered_by_file,
@@ -536,6 +645,7 @@ QUERIES: dict[str, Query] = {
     "log_read": log_read,
     "log_read_tolerant": log_read_tolerant,
     "model_save_load": model_save_load,
+    "model_save_load_checked": model_save_load_checked,
     "corpus_build": corpus_build,
     "profile_load": profile_load,
     # projections and filters
@@ -556,6 +666,8 @@ QUERIES: dict[str, Query] = {
     "display_projection": display_projection,
     # joins
     "disagreement_details": disagreement_details,
+    "disagreement_details_latest": disagreement_details_latest,
+    "disagreement_details_page": disagreement_details_page,
     "retrieve_topk": retrieve_topk,
     "retrieve_topk_bucketed": retrieve_topk_bucketed,
     "attach_labels": attach_labels,
@@ -575,6 +687,7 @@ QUERIES: dict[str, Query] = {
     "class_balance": class_balance,
     # sorts, samples, sets, comparison
     "top_features": top_features,
+    "top_features_checked": top_features_checked,
     "disagreements_top": disagreements_top,
     "log_sample": log_sample,
     "models_sorted": models_sorted,
@@ -582,9 +695,11 @@ QUERIES: dict[str, Query] = {
     "log_union": log_union,
     "corpus_replace": corpus_replace,
     "disagreements": disagreements,
+    "disagreements_raw": disagreements_raw,
     "disagreement_count": disagreement_count,
     # text
     "embed_text": embed_text,
+    "embed_text_checked": embed_text_checked,
     "prompt_base": prompt_base,
     "prompt_few_shot": prompt_few_shot,
     "prompt_with_context": prompt_with_context,
@@ -598,11 +713,17 @@ QUERIES: dict[str, Query] = {
     "stratified_split": stratified_split,
     "split_hash": split_hash,
     "train_random_forest": train_random_forest,
+    "train_random_forest_checked": _classes_known(training.FOREST),
     "train_logistic": train_logistic,
+    "train_logistic_checked": _classes_known(training.LOGISTIC),
     "feature_importance": feature_importance,
+    "feature_importance_checked": feature_importance_checked,
     "score_and_log": score_and_log,
+    "score_and_log_checked": score_and_log_checked,
     "scoring_stats": scoring_stats,
+    "scoring_stats_checked": scoring_stats_checked,
     "batch_respond": batch_respond,
     "full_experiment": full_experiment,
+    "full_experiment_checked": full_experiment_checked,
     "log_metrics_stream": log_metrics_stream,
 }
