@@ -44,7 +44,7 @@ def class_quotas(sizes: Mapping[int, int], taken: int) -> dict[int, int]:
 
 
 def _by_class(label: Column, values: Mapping[int, Column]) -> Column:
-    """A constant per class; there are at most MAX_CLASSES."""
+    """A constant per class; ``class_sizes`` bounds their number."""
     entries = [part for c, v in sorted(values.items()) for part in (F.lit(c), v)]
     return F.try_element_at(F.create_map(*entries), label)
 
@@ -87,14 +87,16 @@ def _cuts(
     return {r["label"]: (r["hash"], r["key"]) for r in found}
 
 
-def class_sizes(df: DataFrame, label: str, key: str | None = None) -> dict[int, int]:
+def class_sizes(
+    df: DataFrame, label: str, key: str | None = None, most_classes: int = MAX_CLASSES
+) -> dict[int, int]:
     lost = F.count_if(F.col(key).isNull()) if key else F.lit(0)
     counts = df.groupBy(F.col(label).alias("label")).agg(
         F.count(F.lit(1)).alias("count"), lost.alias("lost")
     )
-    rows = counts.limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes in {label}: not a class label")
+    rows = counts.limit(most_classes + 1).collect()
+    if len(rows) > most_classes:
+        raise ValueError(f"more than {most_classes} classes in {label}; raise most_classes if it is a label")
     if any(r["label"] is None for r in rows):
         raise ValueError(f"{label} has missing values; every row needs a class")
     if any(r["lost"] for r in rows):
@@ -110,13 +112,15 @@ def stratified_split(
     val_percent: int = 15,
     seed: int = 42,
     gather_limit: int = GATHER_LIMIT,
+    most_classes: int = MAX_CLASSES,
 ) -> DataFrame:
     """Add ``split``: exact part sizes, every class in proportion.
 
     The counts run at once; the returned frame is lazy and keeps the partitioning
-    of ``df``.  Rows with equal keys always land in the same part.
+    of ``df``.  Rows with equal keys always land in the same part.  Class sizes and cuts
+    are constants of the plan; a label of more than ``most_classes`` values raises.
     """
-    sizes = class_sizes(df, label, key)
+    sizes = class_sizes(df, label, key, most_classes)
     total = sum(sizes.values())
     n_test = math.ceil(total * test_percent / 100)
     n_val = math.ceil((total - n_test) * val_percent / (100 - test_percent))

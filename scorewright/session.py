@@ -10,10 +10,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_folders: dict[str, str] = {}
+# Folders of the open ``intermediates`` blocks, the innermost last.
+_open_blocks: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,7 +40,26 @@ def shared_folder(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, name: str) -> str:
     """A path under the shared folder that no other run uses."""
     app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/scorewright/{app}/{name}-{uuid.uuid4().hex}"
+    folder = _open_blocks[-1] if _open_blocks else f"{shared_folder(spark)}/scorewright/{app}"
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[str]:
+    """Intermediate tables written inside go when the block ends, also on failure.
+
+    Frames that read them have to be written or collected inside.  Blocks nest; one
+    driver thread uses them at a time.
+    """
+    folder = new_path(spark, "run")
+    _open_blocks.append(folder)
+    try:
+        yield folder
+    finally:
+        _open_blocks.remove(folder)
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

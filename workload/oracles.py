@@ -228,6 +228,8 @@ ORACLES: dict[str, str] = {
     "retrieve_topk": f"with {fx.HITS_SQL} select query_id, rank, doc_id, text, distance from hits",
     "retrieve_topk_bucketed": f"""with {fx.HITS_SQL}
         select query_id, rank, doc_id, text, distance from hits""",
+    "retrieve_recall": f"""with {fx.HITS_SQL}
+        select count(*) as n_hits, true as reached from hits""",
     "attach_labels": with_features(
         """select transaction_id, amount, log_amount, hour, is_high_amount, label as y
         from features"""

@@ -273,6 +273,18 @@ def retrieve_topk_bucketed(spark, sf):
     )
 
 
+def retrieve_topk_probed(spark, sf):
+    return retrieval.retrieve_topk_probed(
+        fx.vectors(spark, sf, "query_id"), fx.vector_corpus(spark, sf), k=3
+    )
+
+
+def retrieve_recall(spark, sf):
+    """Whether the approximate search finds nine tenths of the exact hits."""
+    measured = retrieval.recall(retrieve_topk_probed(spark, sf), retrieve_topk(spark, sf))
+    return measured.select("n_hits", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def attach_labels(spark, sf):
     table = feature_table(spark, sf)
     marks = fx.loaded(spark, sf).select("transaction_id", F.col("label").alias("y"))
@@ -670,6 +682,8 @@ QUERIES: dict[str, Query] = {
     "disagreement_details_page": disagreement_details_page,
     "retrieve_topk": retrieve_topk,
     "retrieve_topk_bucketed": retrieve_topk_bucketed,
+    "retrieve_topk_probed": retrieve_topk_probed,
+    "retrieve_recall": retrieve_recall,
     "attach_labels": attach_labels,
     "attach_responses": attach_responses,
     "model_presence": model_presence,
