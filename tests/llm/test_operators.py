@@ -88,6 +88,26 @@ def test_copies_give_few_rows(spark):
     assert found.count() < 100
 
 
+def test_passages_whose_shingles_stand_in_other_texts_too(spark, monkeypatch):
+    words = prose(3, 50, 100_000).split()
+    texts = {8: " ".join(words), 20: " ".join(words)}
+    # Each shingle also stands in a text before both, and in one between them.
+    for i, start in enumerate(range(0, 50, 7)):
+        part = " ".join(words[max(start - 4, 0) : start + 11])
+        texts[i] = prose(50 + i, 60, 100_000) + " " + part + " " + prose(70 + i, 60, 100_000)
+        texts[10 + i] = prose(80 + i, 60, 100_000) + " " + part + " " + prose(90 + i, 60, 100_000)
+    for i in (8, 20):
+        texts[i] = prose(1000 + i, 70, 100_000) + " " + texts[i] + " " + prose(1100 + i, 70, 100_000)
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    # Once by rare shingles, once with all of them common.
+    for sample, least in ((16, 1000), (1, 1)):
+        monkeypatch.setattr(passages, "SAMPLE", sample)
+        monkeypatch.setattr(passages, "LEAST_COMMON", least)
+        found = passages.repeated_passages(df).collect()
+        got = [(r["doc_id"], r["start_word"], r["end_word"], r["first_doc_id"]) for r in found]
+        assert got == [(20, 70, 120, 8)]
+
+
 def test_cut_out():
     assert passages.cut_out("a b  c\nd e", [(1, 3)]) == "a d e"
     assert passages.cut_out("a b c", [(0, 2)]) == "c"
