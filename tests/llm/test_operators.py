@@ -108,6 +108,42 @@ def test_passages_whose_shingles_stand_in_other_texts_too(spark, monkeypatch):
         assert got == [(20, 70, 120, 8)]
 
 
+def test_passages_with_changed_words_match_brute_force(spark):
+    rng, texts = random.Random(5), {}
+    for i in range(240):
+        # Three of four have 50 words with one of the middle changed, a similarity of 0.8.
+        more = i // 4 % 3 if i % 4 == 0 else 0
+        words = prose(20_000 + i, 50 + 10 * more, 100_000).split()
+        near = list(words)
+        for at in rng.sample(range(len(words)) if more else range(20, 30), 1 + more):
+            near[at] = f"changed{at}"
+        for doc, middle in ((i, words), (1000 + i, near)):
+            around = [prose(50_000 + 10 * doc + k, 40, 1_000_000) for k in (0, 1)]
+            texts[doc] = " ".join([around[0], *middle, around[1]])
+
+    def runs(doc):
+        words = texts[doc].split()
+        grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+        return [grams[i : i + 46] for i in range(len(grams) - 45)]
+
+    def same(a, b):
+        # A passage goes from a shingle that matches to one that does.
+        ends = a[0] == b[0] and a[-1] == b[-1]
+        return ends and len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b))
+
+    want = {
+        (1000 + i, i)
+        for i in range(240)
+        for a in runs(i)
+        for b in runs(1000 + i)
+        if same(a, b)
+    }
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    found = passages.repeated_passages(df).select("doc_id", "first_doc_id").distinct().collect()
+    assert len(want) > 150
+    assert want <= {tuple(r) for r in found}
+
+
 def test_cut_out():
     assert passages.cut_out("a b  c\nd e", [(1, 3)]) == "a d e"
     assert passages.cut_out("a b c", [(0, 2)]) == "c"
