@@ -37,8 +37,16 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sample the documents to the target mix of sources, languages and topics."""
-    return mixing.mix(docs).filter("sampled").select(*docs.columns)
+    """Sample the documents to the target mix of sources, languages and topics.
+
+    A document whose rate is above 1 is repeated: as often as the whole part says, and
+    once more with the probability of the rest.  So the targets are met in rows.
+    """
+    mixed = mixing.mix(docs).filter("sampled")
+    more = F.pmod(F.xxhash64("doc_id", F.lit("more")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = F.floor("weight") + (more < F.col("weight") - F.floor("weight")).cast("int")
+    repeated = mixed.withColumn("_time", F.explode(F.sequence(F.lit(1), times.cast("int"))))
+    return repeated.select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
