@@ -22,18 +22,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.filter(fits).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with ``_row``, which rises with doc_id; null ids come last.
+
+    Rows are told apart by it where ids are null or repeated.  It is written, so all
+    later passes see the same numbers.
+    """
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
+    return written(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates keep the document with the smallest id."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
-    first = groups.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi")
+    """Of each group of near-duplicates keep one row, that with the smallest id.
+
+    Rows with a null id are the last choice, and kept where they are alone; rows that
+    repeat an id are documents of their own.
+    """
+    rows = _numbered(docs)
+    groups = simhash.near_duplicates(rows.select("_row", "text"), key="_row")
+    first = groups.filter(F.col("_row") == F.col("component_id")).select("_row")
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut out passages that a document with a smaller id has; drop what is then empty."""
-    found = passages.repeated_passages(docs.select("doc_id", "text"))
-    left = passages.without_passages(docs, written(found, "passages"))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Cut out passages that a document with a smaller id has; drop what is then empty.
+
+    Rows with null or repeated ids are documents of their own, null ids the last.
+    """
+    rows = _numbered(docs)
+    found = passages.repeated_passages(rows.select("_row", "text"), key="_row")
+    left = passages.without_passages(rows, written(found, "passages"), key="_row")
+    chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return left.withColumn("n_chars", chars).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +62,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document whose rate is above 1 is repeated: as often as the whole part says, and
     once more with the probability of the rest.  So the targets are met in rows.
     """
-    mixed = mixing.mix(docs).filter("sampled")
-    more = F.pmod(F.xxhash64("doc_id", F.lit("more")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    # Null or repeated ids would be drawn all together.
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    mixed = mixing.mix(keyed, key="_key").filter("sampled")
+    more = F.pmod(F.xxhash64("_key", F.lit("more")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = F.floor("weight") + (more < F.col("weight") - F.floor("weight")).cast("int")
     repeated = mixed.withColumn("_time", F.explode(F.sequence(F.lit(1), times.cast("int"))))
     return repeated.select(*docs.columns)
