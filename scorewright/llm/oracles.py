@@ -1,6 +1,9 @@
 """SQL for the queries whose results SQL can express."""
 
+from scorewright.llm import lexical
+
 ORACLES = {
+    "op12_lexical": lexical.ORACLE,
     "op9_pivots": """
         with v as (
             select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm import (
+    alignment,
     langid,
+    lexical,
     licences,
     mixing,
     packing,
@@ -15,6 +17,7 @@ from scorewright.llm import (
     scoring,
     sharding,
     simhash,
+    suffixes,
     topk,
 )
 from scorewright.llm.common import documents, held_out, table
@@ -75,6 +78,20 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    aligned, _ = alignment.align(documents(spark, sf).select("doc_id", "text"), digest=True)
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+def op12_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    return lexical.search(docs, table(spark, sf, "benchmark"))
+
+
+def op13_suffixes(spark: SparkSession, sf: str) -> DataFrame:
+    return suffixes.without_repeats(documents(spark, sf).select("doc_id", "text")).drop("spans")
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -88,5 +105,8 @@ QUERIES = {
         op8_licences,
         op9_pivots,
         op10_sharding,
+        op11_alignment,
+        op12_lexical,
+        op13_suffixes,
     )
 }
