@@ -7,12 +7,15 @@ a run of documents of one task; what it holds is written out before it is used t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.sql import SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Documents of a block, and the bytes of text from which on it is closed.
 SLOTS = 2048
 BLOCK_BYTES = 8_000_000
@@ -62,3 +65,21 @@ def lists(sizes: np.ndarray, values: np.ndarray, kind: pa.DataType) -> pa.ListAr
     """An Arrow column of lists of these sizes."""
     ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
+
+
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a table written inside go as soon as it is written.
+
+    For chains of written tables, each of which is made once: without it the files of
+    all steps lie on the executors' disks until the driver collects its garbage.
+    """
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
