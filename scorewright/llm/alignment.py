@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.blocks import SLOTS, lists, numbered_blocks
+from scorewright.llm.blocks import SLOTS, numbered_blocks, shuffles_end
 from scorewright.llm.common import even, written
 
 TOKENIZERS = "/opt/tokenizers"
@@ -344,8 +344,10 @@ def align(
     b = F.col("pair").bitwiseAND(F.lit(IDS - 1))
     most = Window.partitionBy(b)
     counts = pair_counts(postings).withColumn("best", F.col("n_links") == F.max("n_links").over(most))
-    counts = written(counts, "pairs")
-    scored = postings.join(counts.select("pair", "n_links", "best"), "pair")
+    with shuffles_end(docs.sparkSession):
+        counts = written(counts, "pairs")
+    # Pairs grow with the corpus, so they are never broadcast, at whatever size.
+    scored = postings.join(counts.select("pair", "n_links", "best").hint("merge"), "pair")
     scored = scored.select(F.col("block").alias("home"), "planes", "n_links", "best")
 
     def returned(left: pa.Table, right: pa.Table) -> pa.Table:
