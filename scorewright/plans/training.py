@@ -13,13 +13,12 @@ from pyspark.sql import functions as F
 
 from scorewright.functions.labels import at_threshold
 from scorewright.operators.features import class_weights
+from scorewright.plans.forest import Forest, forest_probability, grow_forest
 from scorewright.schemas import MODEL_INPUTS
 from scorewright.sources.runlog import log_rows
 
 FOREST, LOGISTIC = "rf", "logreg"
 TREES = 100
-# The driver holds all trees, so their depth has to be bounded.
-TREE_DEPTH = 10
 # Room for the split statistics of one pass: enough for a whole level of all trees.
 LEVEL_MEGABYTES = 1_024
 LOGISTIC_ITERATIONS = 1_000
@@ -46,16 +45,20 @@ def weighted(train: DataFrame) -> tuple[DataFrame, int]:
 
 
 def train_model(
-    train: DataFrame, model_type: str = FOREST, seed: int = 42, tree_depth: int = TREE_DEPTH
-) -> PipelineModel:
+    train: DataFrame, model_type: str = FOREST, seed: int = 42, tree_depth: int | None = None
+) -> PipelineModel | Forest:
     """Scale the inputs and fit a balanced classifier.
 
-    The training rows are cached for the passes of the fit; a lost executor only
-    means that its part is computed again.
+    A forest's trees grow until their leaves are pure; it needs no scaling and stays in
+    tables.  With ``tree_depth`` they end there, and Spark ML's forest, which the driver
+    holds, is fitted.  Its rows, and those of the logistic fit, are cached for the passes
+    of the fit; a lost executor only means that its part is computed again.
     """
     if model_type not in (FOREST, LOGISTIC):
         raise ValueError(f"model_type must be '{FOREST}' or '{LOGISTIC}'")
     rows, count = weighted(train)
+    if model_type == FOREST and tree_depth is None:
+        return grow_forest(rows, MODEL_INPUTS, trees=TREES, seed=seed)
     if model_type == FOREST:
         classifier = RandomForestClassifier(
             featuresCol="inputs",
@@ -90,16 +93,19 @@ def train_model(
         rows.unpersist()
 
 
-def score(model: PipelineModel, df: DataFrame) -> DataFrame:
+def score(model: PipelineModel | Forest, df: DataFrame) -> DataFrame:
     """Add the probability of class 1 and the predicted class to every row."""
     rows = df.select(F.struct(*df.columns).alias("row"), *[_given(c).alias(c) for c in MODEL_INPUTS])
+    if isinstance(model, Forest):
+        scored = forest_probability(model, rows).select("row.*", "predicted_prob")
+        return scored.withColumn("predicted_label", at_threshold(F.col("predicted_prob")))
     return model.transform(rows).select(
         "row.*", vector_to_array("probability").getItem(1).alias("predicted_prob")
     ).withColumn("predicted_label", at_threshold(F.col("predicted_prob")))
 
 
 def score_to_log(
-    model: PipelineModel,
+    model: PipelineModel | Forest,
     df: DataFrame,
     model_name: str,
     prompt_variant: str | None = None,
@@ -110,7 +116,7 @@ def score_to_log(
     return log_rows(score(model, df), F.lit(model_name), variant, timestamp=timestamp)
 
 
-def scoring_stats(model: PipelineModel, df: DataFrame, model_name: str) -> DataFrame:
+def scoring_stats(model: PipelineModel | Forest, df: DataFrame, model_name: str) -> DataFrame:
     """Measured seconds per row of scoring ``df``."""
     # The sum needs every probability, so none of the scoring is optimised away.
     total = score(model, df).agg(
@@ -126,9 +132,11 @@ def scoring_stats(model: PipelineModel, df: DataFrame, model_name: str) -> DataF
 
 
 def feature_importance(
-    spark: SparkSession, model: PipelineModel, top_k: int = 10
+    spark: SparkSession, model: PipelineModel | Forest, top_k: int = 10
 ) -> DataFrame:
     """Inputs by importance; a classifier without any gives no rows."""
+    if isinstance(model, Forest):
+        return model.importances().orderBy(F.desc("importance"), "feature").limit(top_k)
     classifier = model.stages[-1]
     if hasattr(classifier, "featureImportances"):
         values = classifier.featureImportances.toArray()
@@ -141,9 +149,16 @@ def feature_importance(
     return importances.orderBy(F.desc("importance"), "feature").limit(top_k)
 
 
-def save(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save(model: PipelineModel | Forest, path: str) -> None:
+    if isinstance(model, Forest):
+        model.save(path)
+    else:
+        model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
+def load(path: str) -> PipelineModel | Forest:
+    spark = SparkSession.active()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/cells")
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return Forest(spark, path, MODEL_INPUTS)
     return PipelineModel.load(path)
