@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewright.functions.labels import label_to_int
 from scorewright.operators.skew import HOT_ROWS, hot_keys, placed, spread_join
+from scorewright.session import materialise
 
 # A logged time, the class and the spelling of a prediction share one whole number:
 # 58 bits of microseconds (beyond the year 9999), one bit, four bits.
 MAX_SPELLINGS = 16
+# Transactions whose bitsets are multiplied at once.
+BIT_ROWS = 8_192
 _LATE = (1 << 58) - 1
 
 
@@ -189,35 +194,77 @@ def disagreement_details(
     return _left_join(with_a, in_b, "_in_b").drop("_spot")
 
 
+def _products(models: int):
+    """For each model the transactions on which each later one has its class; and all (-1)."""
+
+    def run(batches):
+        equal, total = np.zeros((models, models), dtype=np.int64), 0
+        for batch in batches:
+            n = batch.column("n").to_numpy(zero_copy_only=False)
+            total += int(n.sum())
+            words = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(batch.num_columns - 1)]
+            bits = np.stack(words, axis=1).astype("<i8").view(np.uint8)
+            for low in range(0, len(batch), BIT_ROWS):
+                some = slice(low, low + BIT_ROWS)
+                held = np.unpackbits(bits[some], axis=1, count=2 * models, bitorder="little")
+                for side in (0, 1):
+                    one = held[:, side::2].astype(np.float64)
+                    # Whole numbers, exact below 2^53.
+                    equal += ((one * n[some, None]).T @ one).astype(np.int64)
+        rows = [[total], *(equal[a, a + 1 :] for a in range(models))]
+        yield pa.RecordBatch.from_pydict(
+            {"a": np.arange(-1, models, dtype=np.int32), "equal": pa.array(rows, pa.list_(pa.int64()))}
+        )
+
+    return run
+
+
 def disagreement_count(log: DataFrame, names: list[str] | None = None) -> DataFrame:
     """Disagreeing transactions for every pair of models.
 
     Two models disagree wherever their classes are not the same, so the transactions
-    on which they agree are counted and taken from all.  A transaction's classes are
-    one short list; equal lists are counted before pairs are formed from them, and the
-    plan does not grow with the models.
+    on which they agree are counted and taken from all.  A transaction is two bitsets of
+    models, one for each class; equal ones are counted first.  Each task multiplies its
+    bitsets to one matrix of pairs, and the matrices are added: no pair is a row before
+    the result, and the plan does not grow with the models.
     """
-    names = model_names(log) if names is None else names
+    names = sorted(set(model_names(log) if names is None else names))
     spark = log.sparkSession
-    if len(set(names)) < 2:
+    if len(names) < 2:
         return spark.createDataFrame([], "model_a string, model_b string, n long")
-    given = _given(log)
     packed = _time(log) * 2 + (1 - _class_of(log))
-    firsts = given.groupBy("transaction_id", "model_name").agg(F.min(packed).alias("p"))
-    named = F.struct(F.pmod("p", F.lit(2)).alias("c"), F.col("model_name").alias("m"))
-    known = F.filter(F.collect_list(named), lambda x: x["m"].isNotNull())
-    patterns = firsts.groupBy("transaction_id").agg(F.sort_array(known).alias("classes"))
-    patterns = patterns.groupBy("classes").agg(F.count(F.lit(1)).alias("n"))
-    one = patterns.select("classes", "n", F.explode("classes").alias("a"))
-    two = one.select("n", "a", F.explode("classes").alias("b"))
-    same = two.filter("a.c = b.c and a.m < b.m").groupBy(
-        F.col("a.m").alias("model_a"), F.col("b.m").alias("model_b")
+    firsts = _given(log).groupBy("transaction_id", "model_name").agg(F.min(packed).alias("p"))
+    # From literals: rows from the driver's Python would need a worker to be started.
+    numbers = spark.range(1).select(
+        F.posexplode(F.array(*[F.lit(n) for n in names])).alias("_model", "model_name")
+    )
+    value = F.col("_model") * 2 + (1 - F.pmod("p", F.lit(2))).cast("int")
+    firsts = firsts.join(F.broadcast(numbers), "model_name", "left").withColumn("_v", value)
+    bit = F.expr("shiftleft(1L, _v % 64)")
+    # A transaction without any of the models counts too: all pairs differ on it.
+    words = [
+        F.coalesce(F.bit_or(F.when(F.floor(F.col("_v") / 64) == k, bit)), F.lit(0).cast("long")).alias(f"_{k}")
+        for k in range(-(-2 * len(names) // 64))
+    ]
+    sets = firsts.groupBy("transaction_id").agg(*words).drop("transaction_id")
+    sets = sets.groupBy(*sets.columns).agg(F.count(F.lit(1)).alias("n"))
+    parts = sets.mapInArrow(_products(len(names)), "a int, equal array<long>")
+    # One array for each task and model: a task adds up those of its models.
+    added = F.reduce(
+        F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))),
+        F.get("rows", F.lit(0)),
+        lambda one, other: F.zip_with(one, other, lambda x, y: x + y),
     )
-    equal = same.agg(F.sum("n").alias("equal"))
-    all_ids = patterns.agg(F.sum("n").alias("n")).first()["n"] or 0
-    pairs = list(combinations(sorted(set(names)), 2))
-    wanted = spark.createDataFrame(pairs, "model_a string, model_b string")
-    rest = F.lit(all_ids) - F.coalesce("equal", F.lit(0))
-    return wanted.join(equal, ["model_a", "model_b"], "left").select(
-        "model_a", "model_b", rest.cast("long").alias("n")
+    sums = parts.groupBy("a").agg(F.collect_list("equal").alias("rows")).select("a", added.alias("equal"))
+    sums = materialise(sums, "agreements")
+    total = sums.filter("a = -1").first()
+    if total is None:
+        pairs = [(*pair, 0) for pair in combinations(names, 2)]
+        return spark.createDataFrame(pairs, "model_a string, model_b string, n long")
+    pairs = sums.filter("a >= 0").select("a", F.posexplode("equal").alias("after", "same"))
+    name = F.array(*[F.lit(n) for n in names])
+    return pairs.select(
+        F.get(name, "a").alias("model_a"),
+        F.get(name, F.col("a") + F.col("after") + 1).alias("model_b"),
+        (F.lit(total["equal"][0]) - F.col("same")).alias("n"),
     )

@@ -1,5 +1,7 @@
 """The run log, metrics and comparison on small frames."""
 
+import random
+
 import pytest
 from conftest import plan_of, values
 from pyspark.sql import functions as F
@@ -266,3 +268,26 @@ def test_stream_equals_batch(spark, mixed, tmp_path):
     assert later.filter("model_name = 'A'").first()["support"] == 2 * batch.filter(
         "model_name = 'A'"
     ).first()["support"]
+
+
+def test_agreement_of_many_models_is_counted_without_pair_rows(spark):
+    rng = random.Random(6)
+    names = [f"m{i:03}" for i in range(70)]
+    rows = [
+        (t, n, str(rng.randrange(2)), t)
+        for t in range(40) for n in names if rng.random() < 0.8
+    ]
+    rows += [(t, n, "1", t + 100) for t, n, _, _ in rows[:500]] + [(99, "other", "1", 0)]
+    log = spark.createDataFrame(rows, "transaction_id long, model_name string, predicted_label string, at long")
+    log = log.withColumn("timestamp", F.timestamp_seconds("at")).drop("at")
+    first = {}
+    for t, n, label, at in sorted(rows, key=lambda r: r[3]):
+        first.setdefault((t, n), label)
+    ids = {t for t, _, _, _ in rows}
+    found = compare.disagreement_count(log, names)
+    assert "Generate explode" not in plan_of(found)
+    got = {(r["model_a"], r["model_b"]): r["n"] for r in found.collect()}
+    assert len(got) == 70 * 69 // 2
+    for (a, b), n in got.items():
+        same = sum(1 for t in ids if first.get((t, a)) is not None and first.get((t, a)) == first.get((t, b)))
+        assert n == len(ids) - same
