@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+from typing import Any
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -74,3 +79,16 @@ def fenced(df: DataFrame, *columns: str) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """A table in the folder all executors share; later steps do not go back beyond it."""
     return materialise(df, name)
+
+
+def worker_value(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, made once in each Python process.
+
+    Functions travel to the executors by value and are new in each task there, so what
+    should outlive a task hangs on the process itself.
+    """
+    holder = "_values_of_this_process"
+    values = sys.modules.setdefault(holder, ModuleType(holder)).__dict__
+    if name not in values:
+        values[name] = make()
+    return values[name]

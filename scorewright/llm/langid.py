@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewright.llm.common import even
+from scorewright.llm.common import even, worker_value
 
 UNKNOWN = "und"
 LONGEST_GRAM = 3
@@ -26,9 +24,12 @@ _LETTER_BITS = 18
 _MASK = (1 << _LETTER_BITS) - 1
 
 
-@cache
 def letter_numbers() -> np.ndarray:
     """Code point to the number of its small letter, from 1 in order of code points; else 0."""
+    return worker_value("letter numbers", _letter_numbers)
+
+
+def _letter_numbers() -> np.ndarray:
     small = np.zeros(0x110000, dtype=np.int64)
     for point in range(0x110000):
         letter = chr(point)
