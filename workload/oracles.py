@@ -131,6 +131,20 @@ ORACLES: dict[str, str] = {
           'amount ' || printf('%.2f', "Amount") as reason, '{fx.STAMP}' as "timestamp"
         from loaded"""
     ),
+    "batch_respond_stored": with_txn(
+        f"""select transaction_id, label as true_label,
+          case when "Amount" > 60 then 'FRAUD' else 'NOT_FRAUD' end as predicted_label,
+          printf('%.2f', least(0.99::double, 0.5::double + abs("Amount" - 60) / 200))::double
+            as predicted_prob,
+          '{fx.LOCAL}' as model_name, 'few_shot' as prompt_variant,
+          'amount ' || printf('%.2f', "Amount") as reason, '{fx.STAMP}' as "timestamp"
+        from loaded"""
+    ),
+    "answers_asked": with_txn(
+        """select case when even then 'first' else 'second' end as run, count(*) as n from (
+          select printf('%.2f', "Amount") as amount, bool_or(transaction_id % 2 = 0) as even
+          from loaded group by amount) group by even"""
+    ),
     "full_experiment_checked": with_split(
         f""", test as (select label, amount > 60 as guess from parts where split = 'test'),
         runs as (select unnest(['{fx.FOREST}', '{fx.LOGISTIC}', '{RULE_RUN}']) as model_name)

@@ -14,7 +14,7 @@ from scorewright.operators import retrieval, split
 from scorewright.operators.ranking import file_row_index, row_index
 from scorewright.plans import experiment, responding, training
 from scorewright.session import materialise, new_path, spread
-from scorewright.sources import corpus, runlog, transactions, tuning
+from scorewright.sources import answers, corpus, runlog, transactions, tuning
 from scorewright.streaming import log_metrics
 from workload import fixtures as fx
 
@@ -606,6 +606,35 @@ def batch_respond(spark, sf):
     return stamped(rows)
 
 
+def _short_prompts(spark, sf):
+    """Transactions whose text is their amount alone, so that many prompts are equal."""
+    text = F.format_string("Amount: $%.2f", "Amount").alias("txn_text")
+    return fx.loaded(spark, sf).select("transaction_id", "label", text)
+
+
+def batch_respond_stored(spark, sf):
+    """A run over every other transaction, then one over all that uses its answers."""
+    store, txns = new_path(spark, "answers"), _short_prompts(spark, sf)
+    stamp = F.lit(fx.STAMP).cast("timestamp")
+    half = txns.filter("transaction_id % 2 = 0")
+    for rows in (half, txns):
+        log = responding.batch_respond(
+            rows, fx.rule_responder, F.lit(fx.LOCAL), "few_shot", timestamp=stamp, store=store
+        )
+    return stamped(log)
+
+
+def answers_asked(spark, sf):
+    """How many prompts each of the two runs had to ask."""
+    store, txns = new_path(spark, "answers"), _short_prompts(spark, sf)
+    runs = (("first", txns.filter("transaction_id % 2 = 0")), ("second", txns))
+    for run, rows in runs:
+        responding.batch_respond(
+            rows, fx.rule_responder, F.lit(fx.LOCAL), "few_shot", store=store, run=run
+        )
+    return answers.read(spark, store).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+
+
 def full_experiment(spark, sf):
     return flat_matrix(
         experiment.run_experiment(fx.txn(spark, sf), fx.rule_responder, "local_llama", "team/rule")
@@ -737,6 +766,8 @@ QUERIES: dict[str, Query] = {
     "scoring_stats": scoring_stats,
     "scoring_stats_checked": scoring_stats_checked,
     "batch_respond": batch_respond,
+    "batch_respond_stored": batch_respond_stored,
+    "answers_asked": answers_asked,
     "full_experiment": full_experiment,
     "full_experiment_checked": full_experiment_checked,
     "log_metrics_stream": log_metrics_stream,
