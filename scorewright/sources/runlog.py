@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.schemas import LOG_COLUMNS, LOG_DISPLAY_ORDER, LOG_SCHEMA
+from scorewright.sources.quoted_csv import read_quoted_csv
 
 STAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
@@ -66,9 +67,8 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV log.  Quoted line ends make a file unsplittable, so large logs belong in Parquet."""
-    options = {**_CSV_OPTIONS, "timestampFormat": STAMP_FORMAT}
-    return spark.read.schema(LOG_SCHEMA).options(**options).csv(path)
+    """A CSV log; a large file is read by many tasks, though its reasons hold line ends."""
+    return read_quoted_csv(spark, path, LOG_SCHEMA, timestampFormat=STAMP_FORMAT)
 
 
 def complete(df: DataFrame) -> DataFrame:
