@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +53,16 @@ def to_log_columns(df: DataFrame) -> DataFrame:
     )
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Append a run.  The log is partitioned by model, so reading one model is pruned."""
-    to_log_columns(df).write.mode("append").partitionBy("model_name").parquet(path)
+def append(df: DataFrame, path: str, run: str | None = None) -> None:
+    """Append a run.  The log is partitioned by model, so reading one model is pruned.
+
+    Each run has a folder of its own in those of its models, which becomes visible as a
+    whole when all of it is written.  A run with a name may be repeated: it replaces
+    what it logged before for the same models, so a retried run is in the log once.
+    """
+    rows = to_log_columns(df).withColumn("run", F.lit(run or uuid.uuid4().hex))
+    writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("model_name", "run").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -291,3 +291,22 @@ def test_agreement_of_many_models_is_counted_without_pair_rows(spark):
     for (a, b), n in got.items():
         same = sum(1 for t in ids if first.get((t, a)) is not None and first.get((t, a)) == first.get((t, b)))
         assert n == len(ids) - same
+
+
+def test_a_repeated_run_is_in_the_log_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    first, other = (log_of(spark, [(i, 1, "1", m) for i in range(n)]) for m, n in (("A", 5), ("B", 3)))
+    runlog.append(first.limit(2), path, "one")
+    runlog.append(first, path, "one")
+    runlog.append(other, path, "two")
+    runlog.append(other, path)
+    assert runlog.read(spark, path).groupBy("model_name").count().collect() and runlog.read(spark, path).count() == 11
+
+    def broken(batches):
+        yield next(batches)
+        raise ValueError("lost")
+
+    with pytest.raises(Exception):
+        runlog.append(first.mapInArrow(broken, first.schema), path, "one")
+    assert sorted(values(runlog.read(spark, path).groupBy("model_name").count(), "model_name", "count")) == [("A", 5), ("B", 6)]
+    assert runlog.read(spark, path).columns == LOG_COLUMNS

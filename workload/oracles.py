@@ -167,6 +167,7 @@ ORACLES: dict[str, str] = {
     "row_index_file_order": """select row_number() over (order by event_id) - 1 as transaction_id,
         event_id from events""",
     "log_append": with_log(f"select {STAMPED} from log"),
+    "log_append_repeated": with_log(f"select {STAMPED} from log"),
     "log_read": with_log(f"select {STAMPED} from log"),
     "log_read_tolerant": with_log(
         """select transaction_id, true_label, predicted_label, null::double as predicted_prob,

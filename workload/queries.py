@@ -88,6 +88,17 @@ def log_append(spark, sf):
     return stamped(runlog.read(spark, path))
 
 
+def log_append_repeated(spark, sf):
+    """Two named runs, each logged twice: a first try with part of its rows, then all of them."""
+    path = new_path(spark, "log")
+    log = fx.run_log(spark, sf)
+    by_rule = F.col("model_name").isin(fx.FOREST, fx.LOGISTIC)
+    for run, rows in (("rules", log.filter(by_rule)), ("texts", log.filter(~by_rule))):
+        runlog.append(rows.filter("transaction_id % 3 = 0"), path, run)
+        runlog.append(rows, path, run)
+    return stamped(runlog.read(spark, path))
+
+
 def log_read(spark, sf):
     """CSV out and in again, with line ends and quotes in the reasons."""
     path = new_path(spark, "log-csv")
@@ -683,6 +694,7 @@ QUERIES: dict[str, Query] = {
     "row_index": numbered_by_amount,
     "row_index_file_order": numbered_by_file,
     "log_append": log_append,
+    "log_append_repeated": log_append_repeated,
     "log_read": log_read,
     "log_read_tolerant": log_read_tolerant,
     "model_save_load": model_save_load,
