@@ -88,7 +88,7 @@ def test_copies_give_few_rows(spark):
     assert found.count() < 100
 
 
-def test_passages_whose_shingles_stand_in_other_texts_too(spark, monkeypatch):
+def test_passages_whose_shingles_stand_in_other_texts_too(spark):
     words = prose(3, 50, 100_000).split()
     texts = {8: " ".join(words), 20: " ".join(words)}
     # Each shingle also stands in a text before both, and in one between them.
@@ -99,13 +99,90 @@ def test_passages_whose_shingles_stand_in_other_texts_too(spark, monkeypatch):
     for i in (8, 20):
         texts[i] = prose(1000 + i, 70, 100_000) + " " + texts[i] + " " + prose(1100 + i, 70, 100_000)
     df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
-    # Once by rare shingles, once with all of them common.
-    for sample, least in ((16, 1000), (1, 1)):
-        monkeypatch.setattr(passages, "SAMPLE", sample)
-        monkeypatch.setattr(passages, "LEAST_COMMON", least)
-        found = passages.repeated_passages(df).collect()
-        got = [(r["doc_id"], r["start_word"], r["end_word"], r["first_doc_id"]) for r in found]
-        assert got == [(20, 70, 120, 8)]
+    found = passages.repeated_passages(df).collect()
+    got = [(r["doc_id"], r["start_word"], r["end_word"], r["first_doc_id"]) for r in found]
+    assert got == [(20, 70, 120, 8)]
+
+
+def grams(words):
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+
+@pytest.mark.parametrize("copies", [300, 3000])
+def test_large_groups_of_near_copies_are_found_in_linear_rows(spark, copies):
+    rng = random.Random(9)
+    shared, texts, places = prose(2, 60, 100_000).split(), {}, {}
+    for doc in range(copies):
+        near = list(shared)
+        places[doc] = rng.randrange(10, 50)
+        near[places[doc]] = f"changed{doc}"
+        around = [prose(10_000 + 2 * doc + k, 40, 10_000_000) for k in (0, 1)]
+        texts[doc] = " ".join([around[0], *near, around[1]])
+    # Whoever has the same place changed, or the next one, is a partner at 0.8.
+    seen, want = set(), set()
+    for doc, place in places.items():
+        if any(abs(place - other) < 2 for other in seen):
+            want.add(doc)
+        seen.add(place)
+    df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    found = passages.repeated_passages(df).collect()
+    assert want <= {r["doc_id"] for r in found}
+    assert len(found) < 12 * copies
+    for r in found[:: len(found) // 200]:
+        a = texts[r["doc_id"]].split()[r["start_word"] : r["end_word"]]
+        b = texts[r["first_doc_id"]].split()[r["first_start"] : r["first_end"]]
+        assert r["first_doc_id"] < r["doc_id"] and min(len(a), len(b)) >= 50
+        both, either = grams(a) & grams(b), grams(a) | grams(b)
+        assert len(both) / len(either) == pytest.approx(r["similarity"])
+        assert r["similarity"] >= 0.8
+
+
+def test_a_common_line_links_nothing_and_is_not_met_by_all_pairs(spark, monkeypatch):
+    line = prose(4, 12, 100_000)
+    rows = [
+        (doc, f"{prose(7000 + 2 * doc, 60, 10_000_000)} {line} {prose(7001 + 2 * doc, 60, 10_000_000)}")
+        for doc in range(2000)
+    ]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    assert passages.repeated_passages(texts).count() == 0
+    met, agree = [], passages.agree
+    monkeypatch.setattr(passages, "agree", lambda a, *rest: met.append(len(a)) or agree(a, *rest))
+    hashed = [passages._hashed(text, 5) for _, text in rows]
+    shingle = next(iter(set(hashed[0][0].tolist()) & set(hashed[1][0].tolist())))
+    words = []
+    for hashes, marks in hashed:
+        at = int(np.flatnonzero(hashes == shingle)[0])
+        words.append(np.r_[marks, np.zeros(50, np.uint8)][at - 45 : at + 51])
+    group = np.zeros(len(rows), dtype=np.int64)
+    found = passages._leaders(np.stack(words), group, np.arange(len(rows)), 46, 8 / 9)
+    assert (found < 0).all() and sum(met) < len(rows)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_leaders_leave_out_no_window_with_an_earlier_partner(seed):
+    rng = np.random.default_rng(seed)
+    base = rng.integers(1, 16, (4, 96), dtype=np.uint8)
+    words = base[rng.integers(0, 4, 400)]
+    for row in words:
+        for at in rng.integers(0, 96, rng.integers(0, 4)):
+            if not 45 <= at < 50:
+                row[at] = rng.integers(1, 16)
+    words[:, 45:50] = base[0, 45:50]
+    doc = np.sort(rng.integers(0, 300, 400))
+    found = passages._leaders(words, np.zeros(400, dtype=np.int64), doc, 46, 8 / 9)
+    for i in range(400):
+        others = np.flatnonzero(doc < doc[i])
+        same = others[passages.agree(words[others], np.repeat(words[i : i + 1], len(others), 0), 46, 8 / 9)]
+        assert (found[i] >= 0) == (len(same) > 0)
+        assert found[i] < 0 or found[i] in same
+
+
+def test_equal_texts_give_one_row_each(spark):
+    text, short = prose(11, 70, 10_000), prose(12, 20, 10_000)
+    rows = [(4, text), (2, text), (9, text), (9, text), (None, text), (1, short), (3, short)]
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(d, 0, 70, 2, 0, 70, 1.0) for d in (4, 9)]
+    assert sorted(tuple(r) for r in found.collect()) == want
 
 
 def test_passages_with_changed_words_match_brute_force(spark):
