@@ -1,12 +1,14 @@
 """Trees to purity: exact cuts in a task, the same shape when Spark splits the top, odd tables."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from scorewright.plans import forest, training
+from scorewright.session import intermediates
 
 INPUTS = ["a", "b"]
 SCHEMA = "id long, a double, b double, label int, weight double"
@@ -127,3 +129,30 @@ def test_saved_forests_load_as_forests(spark, tmp_path):
     right = training.score(model, rows).filter(F.col("predicted_label") == F.col("label")).count()
     assert right >= 58
     assert training.feature_importance(spark, model, 2).first()["feature"] == "amount"
+
+
+def test_draws_are_those_of_spark(spark):
+    rows = spark.range(-500, 500).select(F.col("id").alias("row"), F.lit(7).alias("tree"))
+    hashes = rows.select(F.xxhash64("row", "tree", F.lit(42)).alias("h")).toPandas()["h"].to_numpy()
+    mine = forest._hash_int(42, forest._hash_int(7, forest._hashed(np.arange(-500, 500))))
+    assert (mine.view(np.int64) == hashes).all()
+
+
+def test_large_nodes_leave_no_copies_of_the_rows(spark, tmp_path):
+    rng = random.Random(4)
+    rows = [(i, rng.random(), rng.random(), int(rng.random() > 0.5), 1.0) for i in range(2000)]
+    size = []
+    for trees in (1, 12):
+        with intermediates(spark) as folder:
+            forest.grow_forest(table(spark, rows), INPUTS, str(tmp_path / str(trees)), trees=trees, few=300)
+            size.append(sum(f.stat().st_size for f in Path(folder).rglob("*.parquet")))
+    assert size[1] < 1.5 * size[0]
+
+
+def test_large_nodes_that_common_slices_do_not_part(spark, tmp_path, monkeypatch):
+    """Most values lie in one slice of all rows, and there the label follows them."""
+    rows = [(i, i * 1e-9 if i % 3 else 1.0 + i, 0.0, int(i % 3 > 0 and i > 1000), 1.0) for i in range(2000)]
+    monkeypatch.setattr(forest, "QUANTILES", 2)
+    grown = forest.grow_forest(table(spark, rows), INPUTS, str(tmp_path / "s"), trees=9, few=200)
+    p = scored(grown, table(spark, rows))
+    assert sum((p[r[0]] >= 0.5) == bool(r[3]) for r in rows) >= 1990
