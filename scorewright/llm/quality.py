@@ -4,18 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import BLANKS, fenced, words
+from scorewright.llm.common import BLANKS, fenced, words, written
 
 BUCKETS = 10_000
 # Weight of the prior, in n-grams.
 PRIOR = 10_000.0
-# Trusted rows that the target distribution is counted on, chosen by the hash of the key.
-TARGET_ROWS = 20_000
-# Labelled rows that the threshold is fitted on, chosen by the hash of the key.
-THRESHOLD_ROWS = 20_000
+# Cells that the scores of labelled rows are counted in, to find the threshold.
+SCORE_CELLS = 1_024
 # Of the trusted keys, those with this remainder set the threshold instead of the target.
 FOLDS = 4
 LEAST_WORDS = 50
@@ -104,21 +102,20 @@ def _apart() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(FOLDS)) == 0
 
 
-def _bounded(labels: DataFrame, rows: int) -> DataFrame:
-    """At most ``rows`` keys, those with the smallest hashes."""
-    marked = labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    return marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+def _marked(labels: DataFrame) -> DataFrame:
+    """Each key once, with the least quality that it has."""
+    return labels.groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def trusted_ids(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """Keys of trusted rows for the target distribution."""
-    return _bounded(labels.filter("quality = 1 and doc_id is not null").filter(~_apart()), rows)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Keys of all trusted rows for the target distribution."""
+    return _marked(labels.filter("quality = 1 and doc_id is not null").filter(~_apart()))
 
 
-def held_back(labels: DataFrame, rows: int = THRESHOLD_ROWS) -> DataFrame:
-    """Keys with their quality that the target has not seen."""
+def held_back(labels: DataFrame) -> DataFrame:
+    """All keys with their quality that the target has not seen."""
     known = labels.filter("quality in (0, 1) and doc_id is not null")
-    return _bounded(known.filter((F.col("quality") == 0) | _apart()), rows)
+    return _marked(known.filter((F.col("quality") == 0) | _apart()))
 
 
 def ratios(
@@ -126,12 +123,13 @@ def ratios(
 ) -> list[float]:
     """For each bucket the log ratio of its share in trusted texts to that in all texts.
 
-    One pass over all texts; the bounded list of trusted keys travels to them.  Counts
-    are combined before the shuffle and ``size`` rows reach the driver.  Without any
-    trusted row all ratios are 0.
+    One pass over all texts, which all trusted keys are joined to.  Counts are combined
+    before the shuffle and ``size`` rows reach the driver.  Without any trusted row all
+    ratios are 0.
     """
-    marks = F.broadcast(trusted.select(F.col("doc_id").alias(key), F.lit(1).alias("_trusted")))
-    marked = df.select(key, words(F.col(text)).alias("_words")).join(marks, key, "left")
+    marks = trusted.select(F.col("doc_id").alias(key), F.lit(1).alias("_trusted"))
+    marked = df.select(key, text).join(marks, key, "left")
+    marked = marked.select("_trusted", words(F.col(text)).alias("_words"))
     grams = marked.select("_trusted", F.explode(buckets(F.col("_words"), size)).alias("bucket"))
     counts = grams.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("all"), F.count("_trusted").alias("good")
@@ -181,19 +179,62 @@ def best_threshold(good: list[float], bad: list[float]) -> float:
     return threshold
 
 
+def whole_threshold(scored: DataFrame) -> float:
+    """What ``best_threshold`` says of a table of any size with ``quality``, 1 or 0, and ``llr``.
+
+    Scores are counted in cells, whose sums the driver adds up; inside its cell each
+    score is then ranked, so all of them count and no task sorts more than a cell.
+    """
+    good = F.sum((F.col("quality") == 1).cast("long")).alias("good")
+    bad = F.sum((F.col("quality") == 0).cast("long")).alias("bad")
+    scores = written(scored.groupBy("llr").agg(good, bad), "scores")
+    shares = [i / SCORE_CELLS for i in range(1, SCORE_CELLS)]
+    least = F.min(F.when(F.col("good") > 0, F.col("llr"))).alias("least")
+    row = scores.agg(
+        F.sum("good").alias("good"), F.sum("bad").alias("bad"), least,
+        F.percentile_approx("llr", F.array(*map(F.lit, shares)), 10 * SCORE_CELLS).alias("edges"),
+    ).first()
+    if not row["good"]:
+        return -math.inf
+    if not row["bad"]:
+        return row["least"]
+    edges = F.array(*map(F.lit, sorted(set(row["edges"]))))
+    cell = F.size(F.filter(edges, lambda e: e < F.col("llr")))
+    celled = scores.withColumn("cell", cell)
+    sums = celled.groupBy("cell").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"), F.min("llr").alias("low"))
+    before, next_, cells, all_good, all_bad = [], None, sums.orderBy("cell").collect(), 0, 0
+    for r in cells:
+        before.append([r["cell"], all_good, all_bad, None])
+        all_good, all_bad = all_good + r["good"], all_bad + r["bad"]
+    for at in range(len(cells) - 1, -1, -1):
+        before[at][3], next_ = next_, cells[at]["low"]
+    first = scores.sparkSession.createDataFrame(before, "cell int, good0 long, bad0 long, next double")
+    inside = Window.partitionBy("cell").orderBy("llr")
+    upto = celled.join(F.broadcast(first), "cell").select(
+        "llr",
+        (F.col("good0") + F.sum("good").over(inside)).alias("g"),
+        (F.col("bad0") + F.sum("bad").over(inside)).alias("b"),
+        F.coalesce(F.lead("llr").over(inside), "next").alias("after"),
+    )
+    # Balance of what stays when all up to a score goes, in whole numbers.
+    wide = "decimal(38,0)"
+    lost = F.col("b").cast(wide) * F.lit(all_good).cast("decimal(18,0)") - F.col("g").cast(wide) * F.lit(all_bad).cast("decimal(18,0)")
+    best = upto.withColumn("lost", lost).filter("lost > 0").orderBy(F.desc("lost"), "llr").first()
+    if best is None:
+        return -math.inf
+    return math.inf if best["after"] is None else (best["llr"] + best["after"]) / 2
+
+
 def fit_threshold(
     df: DataFrame, known: DataFrame, table: list[float], text: str = "text", key: str = "doc_id"
 ) -> float:
-    """The threshold from labelled rows that pass the word rules, a bounded number of them."""
-    marks = F.broadcast(known.select(F.col("doc_id").alias(key), "quality"))
+    """The threshold from all labelled rows that pass the word rules."""
+    marks = known.select(F.col("doc_id").alias(key), "quality")
     rows = with_rules(df.select(key, text).join(marks, key), text)
-    scored = rows.filter(~failed()).select(
-        "quality", llr(buckets(F.col("_words"), len(table)), table).alias("llr")
-    )
-    scores = scored.collect()
-    return best_threshold(
-        [r["llr"] for r in scores if r["quality"] == 1],
-        [r["llr"] for r in scores if r["quality"] == 0],
+    return whole_threshold(
+        rows.filter(~failed()).select(
+            "quality", llr(buckets(F.col("_words"), len(table)), table).alias("llr")
+        )
     )
 
 

@@ -475,3 +475,26 @@ def test_odd_tables(spark, odd, none):
         sizes[name] = len(run(odd).collect())
     assert sizes.pop("passages") == 0
     assert set(sizes.values()) == {len(ODD)}, json.dumps(sizes)
+
+
+def test_whole_threshold_is_that_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SCORE_CELLS", 4)
+    rng = random.Random(2)
+    for good, bad in (
+        ([3.0, 4.0], [1.0, 2.0]),
+        ([3.0], []),
+        ([], [1.0]),
+        ([1.0, 1.0], [1.0]),
+        ([round(rng.gauss(1, 1), 1) for _ in range(300)], [round(rng.gauss(0, 1), 1) for _ in range(200)]),
+    ):
+        rows = [(1, x) for x in good] + [(0, x) for x in bad]
+        got = quality.whole_threshold(spark.createDataFrame(rows, "quality int, llr double").repartition(3))
+        want = quality.best_threshold(good, bad)
+        assert got == want or got == pytest.approx(want)
+
+
+def test_every_labelled_row_counts(spark):
+    """More than 20,000 trusted rows, all of which are keys."""
+    labels = spark.range(80_000).selectExpr("id as doc_id", "1 as quality")
+    trusted, known = quality.trusted_ids(labels), quality.held_back(labels)
+    assert trusted.count() + known.count() == 80_000 and trusted.count() > 50_000
