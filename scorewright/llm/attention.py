@@ -128,20 +128,24 @@ def _gradients(weights, pairs, window, targets, valid):
     rows, columns = np.indices(targets.shape)
     off[rows, columns, targets] -= 1
     off *= (valid / max(1, valid.sum()))[..., None].astype(np.float32)
-    grown = {"out": np.einsum("bqd,bqc->dc", hidden, off)}
+    def summed(a, b):
+        return a.reshape(-1, a.shape[-1]).T @ b.reshape(-1, b.shape[-1])
+
+    grown = {"out": summed(hidden, off)}
     to_hidden = off @ weights["out"].T
     to_value = look.transpose(0, 2, 1) @ to_hidden
     to_look = to_hidden @ value.transpose(0, 2, 1)
     to_scores = look * (to_look - (to_look * look).sum(axis=-1, keepdims=True))
     to_query, to_key = to_scores @ key * scale, to_scores.transpose(0, 2, 1) @ query * scale
     grown["bias"] = to_scores.sum(axis=0)
-    grown["query"] = np.einsum("bqd,bqe->de", own, to_query)
-    grown["key"] = np.einsum("bkd,bke->de", keys_in, to_key)
-    grown["value"] = np.einsum("bkd,bke->de", keys_in, to_value)
+    grown["query"] = summed(own, to_query)
+    grown["key"] = summed(keys_in, to_key)
+    grown["value"] = summed(keys_in, to_value)
     to_keys = to_key @ weights["key"].T + to_value @ weights["value"].T
     to_keys[:, BLOCK:] += to_hidden + to_query @ weights["query"].T
-    grown["embed"] = np.zeros_like(embed)
-    np.add.at(grown["embed"], window.ravel(), to_keys.reshape(-1, WIDTH))
+    at, parts = window.ravel(), to_keys.reshape(-1, WIDTH)
+    columns = [np.bincount(at, parts[:, d], len(embed)) for d in range(WIDTH)]
+    grown["embed"] = np.stack(columns, axis=1).astype(np.float32)
     return grown
 
 

@@ -23,9 +23,7 @@ IDS = 50_257
 END = 50_256
 # Words counted apart, so that none of them travels with all its texts.
 MOST_COMMON = 10_000
-# One text in so many finds the commonest words, and teaches the model in each round.
-SAMPLE = 16
-LESSON = 32
+# The learnt texts teach the model in so many rounds, each text in one of them.
 ROUNDS = 2
 # Bytes of text that are worked on together, and for which words are counted in one task.
 CHUNK = 3_000_000
@@ -118,13 +116,14 @@ def _hashes(words) -> np.ndarray:
     return np.fromiter((digest(w, _SEED) for w in words), dtype=np.uint64, count=len(words))
 
 
-def _sampled(rows: DataFrame, one_in: int, turn: int = 0) -> DataFrame:
-    at = F.pmod(F.xxhash64("text", F.lit(turn)), F.lit(one_in))
-    return rows.filter(~F.col("held_out") & (at == 0))
+def _lesson(rows: DataFrame, turn: int) -> DataFrame:
+    """The learnt texts of one round."""
+    at = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(ROUNDS))
+    return rows.filter(~F.col("held_out") & (at == turn))
 
 
 def common_words(rows: DataFrame) -> list[bytes]:
-    """The commonest words of a sample of the learnt texts, and the end; sorted."""
+    """The commonest words of the learnt texts, and the end; sorted."""
 
     def run(batches):
         for _, _, texts in _chunks(batches):
@@ -134,7 +133,7 @@ def common_words(rows: DataFrame) -> list[bytes]:
                 {"word": pa.array(chunk.words.tolist(), pa.binary()), "n": counts}
             )
 
-    counts = _sampled(rows, SAMPLE).mapInArrow(run, "word binary, n long")
+    counts = rows.filter(~F.col("held_out")).mapInArrow(run, "word binary, n long")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
     return sorted({b"", *(bytes(r["word"]) for r in top.limit(MOST_COMMON).collect())})
 
@@ -260,8 +259,9 @@ def _inputs(ids: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, classes:
 def train(rows: DataFrame, symbols: np.ndarray, known: dict, folder: str) -> dict[str, np.ndarray]:
     """Weights after rounds of learning in parallel, averaged after each.
 
-    In a round every task goes over its part of one text in 32, so the lessons grow
-    with the corpus; averages are weighted by subwords and formed in Spark.
+    In a round every task goes over its part of the round's texts, and after the last
+    round every learnt text has been gone over; averages are weighted by subwords and
+    formed in Spark.
     """
     weights = attention.start()
     for turn in range(ROUNDS):
@@ -280,8 +280,7 @@ def train(rows: DataFrame, symbols: np.ndarray, known: dict, folder: str) -> dic
                     {"at": np.arange(len(learnt)), "x": learnt, "n": np.full(len(learnt), seen)}
                 )
 
-        lesson = _sampled(rows, LESSON, turn + 1)
-        found = lesson.mapInArrow(run, "at long, x double, n long").groupBy("at")
+        found = _lesson(rows, turn).mapInArrow(run, "at long, x double, n long").groupBy("at")
         mean = found.agg((F.sum("x") / F.sum("n")).alias("x")).toPandas()
         if len(mean):
             numbers = np.zeros(len(now))
@@ -455,8 +454,8 @@ def lm_scores(
     32 ids that overlap by half and score each id once, starting from counts of pairs;
     counts give the id in its class.
 
-    Subword and word counts cover all learnt texts; the model learns from one text in
-    32 each round.  Words travel in parcels by hash; the commonest 10,000 are counted
+    Subword and word counts cover all learnt texts, and so do the lessons of the model.
+    Words travel in parcels by hash; the commonest 10,000 are counted
     beforehand, so no task gets a word with all its texts.  The keys are whole numbers.
 
     A null or blank text is the end alone.  A null key stays null.  Repeated rows are

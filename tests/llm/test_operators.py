@@ -498,3 +498,9 @@ def test_every_labelled_row_counts(spark):
     labels = spark.range(80_000).selectExpr("id as doc_id", "1 as quality")
     trusted, known = quality.trusted_ids(labels), quality.held_back(labels)
     assert trusted.count() + known.count() == 80_000 and trusted.count() > 50_000
+
+
+def test_every_learnt_text_is_in_one_lesson(spark):
+    rows = spark.range(100).selectExpr("id as doc_id", "id % 10 = 0 as held_out", "'t' || id as text")
+    lessons = [{r["doc_id"] for r in scoring._lesson(rows, t).collect()} for t in range(scoring.ROUNDS)]
+    assert sorted(i for x in lessons for i in x) == [i for i in range(100) if i % 10]
