@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorewright.llm.common import BLANKS, fenced, words, written
+from scorewright.llm.common import BLANKS, fenced, maybe_among, words, written
 
 BUCKETS = 10_000
 # Weight of the prior, in n-grams.
@@ -118,27 +118,34 @@ def held_back(labels: DataFrame) -> DataFrame:
     return _marked(known.filter((F.col("quality") == 0) | _apart()))
 
 
+def _of_keys(df: DataFrame, marks: DataFrame, key: str) -> DataFrame:
+    """The rows that have a key of ``marks``, with its columns; few others are moved."""
+    return maybe_among(df, marks.select(key)).filter("_maybe").drop("_maybe").join(marks, key)
+
+
+def _bucket_counts(texts: DataFrame, text: str, size: int) -> list[int]:
+    grams = texts.select(words(F.col(text)).alias("_words"))
+    grams = grams.select(F.explode(buckets(F.col("_words"), size)).alias("bucket"))
+    counts = [0] * size
+    for row in grams.groupBy("bucket").count().collect():
+        counts[row["bucket"]] = row["count"]
+    return counts
+
+
 def ratios(
     df: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", size: int = BUCKETS
 ) -> list[float]:
     """For each bucket the log ratio of its share in trusted texts to that in all texts.
 
-    One pass over all texts, which all trusted keys are joined to.  Counts are combined
-    before the shuffle and ``size`` rows reach the driver.  Without any trusted row all
-    ratios are 0.
+    All texts are counted where they lie, and only those that may have a trusted key are
+    joined to these.  Counts are combined before the shuffle and ``size`` rows of each
+    count reach the driver.  Without any trusted row all ratios are 0.
     """
-    marks = trusted.select(F.col("doc_id").alias(key), F.lit(1).alias("_trusted"))
-    marked = df.select(key, text).join(marks, key, "left")
-    marked = marked.select("_trusted", words(F.col(text)).alias("_words"))
-    grams = marked.select("_trusted", F.explode(buckets(F.col("_words"), size)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(
-        F.count(F.lit(1)).alias("all"), F.count("_trusted").alias("good")
-    )
-    whole, good = [0] * size, [0] * size
-    for row in counts.collect():
-        whole[row["bucket"]], good[row["bucket"]] = row["all"], row["good"]
+    marks = trusted.select(F.col("doc_id").alias(key))
+    good = _bucket_counts(_of_keys(df.select(key, text), marks, key), text, size)
     if not sum(good):
         return [0.0] * size
+    whole = _bucket_counts(df, text, size)
     return [_ratio(g, sum(good), n / sum(whole)) if n else 0.0 for g, n in zip(good, whole)]
 
 
@@ -230,7 +237,7 @@ def fit_threshold(
 ) -> float:
     """The threshold from all labelled rows that pass the word rules."""
     marks = known.select(F.col("doc_id").alias(key), "quality")
-    rows = with_rules(df.select(key, text).join(marks, key), text)
+    rows = with_rules(_of_keys(df.select(key, text), marks, key), text)
     return whole_threshold(
         rows.filter(~failed()).select(
             "quality", llr(buckets(F.col("_words"), len(table)), table).alias("llr")

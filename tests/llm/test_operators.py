@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorewright.llm import (
+    common,
     langid,
     licences,
     mixing,
@@ -504,3 +505,22 @@ def test_every_learnt_text_is_in_one_lesson(spark):
     rows = spark.range(100).selectExpr("id as doc_id", "id % 10 = 0 as held_out", "'t' || id as text")
     lessons = [{r["doc_id"] for r in scoring._lesson(rows, t).collect()} for t in range(scoring.ROUNDS)]
     assert sorted(i for x in lessons for i in x) == [i for i in range(100) if i % 10]
+
+
+def test_few_rows_besides_the_wanted_are_moved(spark, monkeypatch):
+    """A bitmap drops most rows without a key, and none with one, however full it is."""
+    rows = spark.range(20_000).selectExpr("if(id = 7, null, id) as doc_id", "'a b' as text")
+    keys = spark.range(500).selectExpr("id * 30 as doc_id")
+    for most, fewest, largest in ((common.MOST_PIECES, 500, 2_000), (0, 20_000, 20_000)):
+        if not most:
+            keys = keys.select(F.col("doc_id").cast("int"))
+        left = common.maybe_among(rows, keys).filter("_maybe")
+        assert fewest <= left.count() <= largest
+        assert left.join(keys, "doc_id").count() == 500
+    none = common.maybe_among(rows, spark.createDataFrame([], "doc_id long"))
+    assert none.columns == ["doc_id", "text", "_maybe"] and none.filter("_maybe").count() == 0
+    moved = []
+    monkeypatch.setattr(quality, "maybe_among", lambda d, k: moved.append(common.maybe_among(d, k)) or moved[-1])
+    labels = spark.range(0, 20_000, 100).selectExpr("id as doc_id", "int(id % 200 = 0) as quality")
+    quality.quality(rows, labels).count()
+    assert len(moved) == 2 and all(m.filter("_maybe").count() < 2_000 for m in moved)
