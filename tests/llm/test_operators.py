@@ -524,3 +524,53 @@ def test_few_rows_besides_the_wanted_are_moved(spark, monkeypatch):
     labels = spark.range(0, 20_000, 100).selectExpr("id as doc_id", "int(id % 200 = 0) as quality")
     quality.quality(rows, labels).count()
     assert len(moved) == 2 and all(m.filter("_maybe").count() < 2_000 for m in moved)
+
+
+def test_windows_go_on_where_their_first_partner_is_not_alike(spark):
+    """Rows of one word meet many others that agree; each is cut off elsewhere."""
+    rng, rows, wanted, seen = random.Random(4), [], [], set()
+    for doc in range(120):
+        parts, at, new = [], 0, set()
+        for w in rng.sample(range(12), 4):
+            many = rng.randint(20, 90)
+            if many >= passages.WORDS and w in seen:
+                wanted.append((doc, at, at + many))
+            if many >= passages.WORDS:
+                new.add(w)
+            parts, at = parts + [f"w{w}"] * many, at + many
+        seen |= new
+        rows.append((doc, " ".join(parts)))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"))
+    spans = [(r["doc_id"], r["start_word"], r["end_word"]) for r in found.collect()]
+    assert len(wanted) > 200
+    for doc, a, b in wanted:
+        held = {w for d, x, y in spans if d == doc for w in range(max(a, x), min(b, y))}
+        assert len(held) >= passages.WORDS, (doc, a, b)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_a_passage_is_found_where_no_likely_stretch_is_similar(seed):
+    """One side has words more, so fewer than 8 / 9 of its shingles have a partner."""
+    rng = np.random.default_rng(seed)
+    mine = rng.integers(1, 1 << 30, 150).astype(np.uint32)
+    more = int(rng.integers(4, 14))
+    other = np.delete(mine, 60 + np.sort(rng.choice(46, more, replace=False)))
+    far = np.r_[0:55, 115 : 150 - more]
+    other[far] = rng.integers(1 << 30, 1 << 31, len(far))
+    found = passages.alike(mine, other, 0, 46, 0.8)
+    assert found
+    for i, j, x, y, score in found:
+        left, right = set(mine[i:j].tolist()), set(other[x:y].tolist())
+        assert min(j - i, y - x) >= 46
+        assert score == pytest.approx(len(left & right) / len(left | right)) and score >= 0.8
+
+
+def test_only_windows_that_share_a_value_are_moved_with_their_marks(spark):
+    rng = random.Random(5)
+    alone = [(i, " ".join(f"x{rng.randrange(10**6)}" for _ in range(400))) for i in range(50)]
+    twice = [(i, "a b c " + alone[i - 50][1]) for i in (50, 51)]
+    texts = spark.createDataFrame(alone + twice, "doc long, text string")
+    every, some = passages._windows(texts, 46), passages._shared_windows(texts, 46)
+    shared = every.groupBy("v").agg(F.count_distinct("doc").alias("k")).filter("k > 1")
+    assert every.join(shared, "v", "left_semi").exceptAll(some).count() == 0
+    assert some.count() < every.count() / 5
