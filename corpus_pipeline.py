@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorewright.llm import langid, mixing, packing, passages, simhash
-from scorewright.llm.common import written
+from scorewright.llm.common import maybe_among, written
+from scorewright.session import settled
 
 # A text whose n-grams fit no learned language better than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.2
@@ -40,8 +42,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     rows = _numbered(docs)
     groups = simhash.near_duplicates(rows.select("_row", "text"), key="_row")
-    first = groups.filter(F.col("_row") == F.col("component_id")).select("_row")
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    later = written(groups.filter(F.col("_row") != F.col("component_id")).select("_row"), "later-rows")
+    # Only rows that may go are moved to those that do.
+    marked = maybe_among(rows, later).select(*rows.columns, "_maybe")
+    met = marked.filter("_maybe").join(later, "_row", "left_anti")
+    return marked.filter("not _maybe").select(*docs.columns).union(met.select(*docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,5 +97,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = settled(spark, name, partial(stage, spark, docs, sf_dir))
     return docs

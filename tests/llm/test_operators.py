@@ -3,6 +3,7 @@
 import json
 import math
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -574,3 +575,33 @@ def test_only_windows_that_share_a_value_are_moved_with_their_marks(spark):
     shared = every.groupBy("v").agg(F.count_distinct("doc").alias("k")).filter("k > 1")
     assert every.join(shared, "v", "left_semi").exceptAll(some).count() == 0
     assert some.count() < every.count() / 5
+
+
+def test_written_tables_leave_no_shuffle_files_and_no_inner_tables(spark, tmp_path):
+    """Shuffles end with the write that needed them; tables of a step with the step."""
+    from scorewright import session
+
+    before = spark.conf.get(session.FILE_CLEANUP)
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return sum(1 for f in manager.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f)
+
+    spark.range(9).repartition(3, "id").collect()
+    there = shuffles()
+    table = session.materialise(spark.range(1_000).repartition(7, "id"), "rows")
+    for _ in range(50):
+        if shuffles() <= there:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= there and table.count() == 1_000
+    inner = []
+
+    def make():
+        inner.append(session.materialise(table.filter("id < 10"), "inner"))
+        return inner[0].selectExpr("id * 2 as id")
+
+    assert session.settled(spark, "outer", make).agg(F.sum("id")).first()[0] == 90
+    with pytest.raises(Exception):
+        inner[0].count()
+    assert spark.conf.get(session.FILE_CLEANUP) == before
