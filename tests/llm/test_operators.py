@@ -605,3 +605,14 @@ def test_written_tables_leave_no_shuffle_files_and_no_inner_tables(spark, tmp_pa
     with pytest.raises(Exception):
         inner[0].count()
     assert spark.conf.get(session.FILE_CLEANUP) == before
+
+
+def test_only_texts_that_may_be_copies_have_their_words_counted(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{i % 40}x{k}" for k in range(60))) for i in range(50)] + [(60, "a b"), (61, "a b")]
+    texts = spark.createDataFrame(rows, "doc long, text string")
+    counted = []
+    monkeypatch.setattr(passages, "maybe_among", lambda d, k: counted.append(common.maybe_among(d, k)) or counted[-1])
+    copies, left = passages._copies(texts, 50)
+    assert counted[0].filter("_maybe").count() < 20
+    assert sorted(tuple(r)[:4] for r in copies.collect()) == [(i, 0, 60, i - 40) for i in range(40, 50)]
+    assert sorted(r["doc"] for r in left.collect()) == [*range(40), 60, 61]
