@@ -120,7 +120,10 @@ def _gradients(weights, pairs, window, targets, valid):
         keys_in @ weights["key"],
         keys_in @ weights["value"],
     )
-    scores = query @ key.transpose(0, 2, 1) * scale + weights["bias"] + _MASK.astype(np.float32)
+    scores = query @ key.transpose(0, 2, 1)
+    scores *= scale
+    scores += weights["bias"]
+    scores += _MASK.astype(np.float32)
     scores += np.where(window == PAD, np.float32(_FAR), np.float32(0))[:, None, :]
     look = _soft(scores)
     hidden = own + look @ value
@@ -135,7 +138,9 @@ def _gradients(weights, pairs, window, targets, valid):
     to_hidden = off @ weights["out"].T
     to_value = look.transpose(0, 2, 1) @ to_hidden
     to_look = to_hidden @ value.transpose(0, 2, 1)
-    to_scores = look * (to_look - (to_look * look).sum(axis=-1, keepdims=True))
+    to_scores = to_look
+    to_scores -= (to_look * look).sum(axis=-1, keepdims=True)
+    to_scores *= look
     to_query, to_key = to_scores @ key * scale, to_scores.transpose(0, 2, 1) @ query * scale
     grown["bias"] = to_scores.sum(axis=0)
     grown["query"] = summed(own, to_query)
@@ -143,9 +148,9 @@ def _gradients(weights, pairs, window, targets, valid):
     grown["value"] = summed(keys_in, to_value)
     to_keys = to_key @ weights["key"].T + to_value @ weights["value"].T
     to_keys[:, BLOCK:] += to_hidden + to_query @ weights["query"].T
-    at, parts = window.ravel(), to_keys.reshape(-1, WIDTH)
-    columns = [np.bincount(at, parts[:, d], len(embed)) for d in range(WIDTH)]
-    grown["embed"] = np.stack(columns, axis=1).astype(np.float32)
+    at = (window.reshape(-1, 1) * WIDTH + np.arange(WIDTH)).ravel()
+    columns = np.bincount(at, to_keys.ravel(), embed.size)
+    grown["embed"] = columns.reshape(embed.shape).astype(np.float32)
     return grown
 
 

@@ -28,13 +28,11 @@ ROUNDS = 2
 # Bytes of text that are worked on together, and for which words are counted in one task.
 CHUNK = 3_000_000
 BUCKET = 50_000_000
-# Subwords known to a worker; when full, the memory is emptied.
-REMEMBERED = 300_000
 _SEED = 42
 
 
 def _encoder(folder: str):
-    return worker_value(f"subwords of {folder}", lambda: _read_encoder(folder))
+    return worker_value(f"subword lines of {folder}", lambda: _read_encoder(folder))
 
 
 def _read_encoder(folder: str):
@@ -42,30 +40,38 @@ def _read_encoder(folder: str):
 
     with open(os.path.join(folder, VOCABULARY), "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    # The pattern takes a word whole: only merges of the vocabulary divide it.
+    # The pattern takes a line whole: only merges of the vocabulary divide it.
     return tiktoken.Encoding(
-        "words", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}
+        "words", pat_str=r"\n|[^\n]+", mergeable_ranks=ranks, special_tokens={}
     )
 
 
-def _memory(folder: str) -> dict[bytes, list[int]]:
-    return worker_value(f"known words of {folder}", lambda: {b"": [END]})
+def subwords(words: list[bytes], folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """Subword ids of all words, which begin with a blank, and how many each has.
 
-
-def subwords(words: list[bytes], folder: str) -> list[list[int]]:
-    """Subword ids of each word, which begins with a blank; the empty word is the end."""
-    known, encoder = _memory(folder), _encoder(folder)
-    if len(known) > REMEMBERED:
-        known.clear()
-        known[b""] = [END]
-    for word in words:
-        if word not in known:
+    The empty word is the end.  Words hold no line break, so that one stands between
+    them and all are encoded in one call.
+    """
+    lines, parts = [], np.ones(len(words), dtype=np.int64)
+    for i, word in enumerate(words):
+        text = " " + word.decode("utf-8", "replace") if word else ""
+        if len(text) > 200:
             # Long words in parts, as merging takes the square of the length.
-            text = " " + word.decode("utf-8", "replace")
-            known[word] = [
-                i for a in range(0, len(text), 200) for i in encoder.encode_ordinary(text[a : a + 200])
-            ]
-    return [known[w] for w in words]
+            lines += [text[a : a + 200] for a in range(0, len(text), 200)]
+            parts[i] = -(-len(text) // 200)
+        else:
+            lines.append(text)
+    encoder = _encoder(folder)
+    ids = encoder.encode_to_numpy("\n".join([*lines, ""])).astype(np.int32)
+    ends = np.flatnonzero(ids == encoder.encode_single_token(b"\n"))
+    # The break after an empty word is its end; the others go.
+    empty = np.diff(ends, prepend=-1) == 1
+    ids[ends[empty]] = END
+    kept = np.ones(len(ids), dtype=bool)
+    kept[ends[~empty]] = False
+    line = np.diff(ends, prepend=-1) - ~empty
+    many = np.add.reduceat(line, np.cumsum(parts) - parts) if len(words) else line
+    return ids[kept], many
 
 
 class Chunk:
@@ -87,9 +93,7 @@ class Chunk:
 
     def pieces(self, folder: str) -> tuple[np.ndarray, np.ndarray]:
         """All subword ids in order, and how many each text has."""
-        lists = subwords(self.words.tolist(), folder)
-        many = np.array([len(x) for x in lists], dtype=np.int64)
-        joined = np.array([i for x in lists for i in x], dtype=np.int32)
+        joined, many = subwords(self.words.tolist(), folder)
         first = np.cumsum(many) - many
         each = many[self.codes]
         start = np.repeat(first[self.codes], each)
@@ -140,9 +144,7 @@ def common_words(rows: DataFrame) -> list[bytes]:
 
 def _symbols(words: list[bytes], folder: str) -> np.ndarray:
     """Subword id to input symbol: the ids most used by the common words have their own."""
-    seen = np.zeros(IDS, dtype=np.int64)
-    for ids in subwords(words, folder):
-        np.add.at(seen, ids, 1)
+    seen = np.bincount(subwords(words, folder)[0], minlength=IDS)
     seen[END] = np.iinfo(np.int64).max
     order = np.lexsort((np.arange(IDS), -seen))[:OTHER]
     symbols = np.full(IDS, OTHER, dtype=np.int32)

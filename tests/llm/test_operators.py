@@ -616,3 +616,28 @@ def test_only_texts_that_may_be_copies_have_their_words_counted(spark, monkeypat
     assert counted[0].filter("_maybe").count() < 20
     assert sorted(tuple(r)[:4] for r in copies.collect()) == [(i, 0, 60, i - 40) for i in range(40, 50)]
     assert sorted(r["doc"] for r in left.collect()) == [*range(40), 60, 61]
+
+
+def test_all_words_are_encoded_in_one_call(monkeypatch):
+    """With the ids each word has alone; long words in parts of 200."""
+    encoder, calls = scoring._encoder(scoring.TOKENIZERS), []
+
+    class Counted:
+        encode_single_token = encoder.encode_single_token
+
+        def encode_to_numpy(self, text):
+            calls.append(text)
+            return encoder.encode_to_numpy(text)
+
+    monkeypatch.setattr(scoring, "_encoder", lambda folder: Counted())
+    long = "é" * 450 + "x" * 31
+    words = ["the", "", long, "<|endoftext|>", " a\x85b", "the"]
+    ids, many = scoring.subwords([w.encode() for w in words], scoring.TOKENIZERS)
+    assert len(calls) == 1
+    want = []
+    for word in words:
+        text = " " + word if word else ""
+        parts = [text[a : a + 200] for a in range(0, len(text), 200)]
+        want.append([i for p in parts for i in encoder.encode_ordinary(p)] or [scoring.END])
+    assert many.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
