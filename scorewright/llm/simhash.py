@@ -1,4 +1,4 @@
-"""Near-duplicates by SimHash fingerprints, compared exactly in tiles."""
+"""Near-duplicates by SimHash fingerprints; those that share a block of bits are compared exactly."""
 
 from __future__ import annotations
 
@@ -15,8 +15,8 @@ from scorewright.llm.components import components
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-TILE = 4096
-# The driver holds the population range of each tile, and no more tiles than this.
+TILE = 32_768
+# The driver holds the range of each tile, and no more tiles than this.
 MOST_TILES = 4096
 # Rows of a tile that are compared at once.
 STRIP = 64
@@ -62,35 +62,53 @@ def fingerprints(df: DataFrame, key: str, text: str) -> DataFrame:
     return named.mapInArrow(run, schema)
 
 
-def _tiles(distinct: DataFrame, tile: int) -> DataFrame:
-    """Fingerprints in order of their population count, cut into tiles: lo, hi, body.
+def _blocks(radius: int) -> list[tuple[int, int]]:
+    """First bit and width of radius + 1 blocks that make up the 64 bits.
 
-    The range exchange deals equal parts, so a count that many share is several tiles.
+    Fingerprints within the radius differ in no bit of one block at least.
     """
-    n = distinct.count()
+    ends = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:])]
+
+
+def _block_values(distinct: DataFrame, radius: int) -> DataFrame:
+    """Each fingerprint once for each block; ``value`` tells the blocks and their bits apart."""
+    blocks = _blocks(radius)
+    first = 1 << max(w for _, w in blocks)
+    values = [
+        F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1).cast("long")) + i * first
+        for i, (at, width) in enumerate(blocks)
+    ]
+    return distinct.select("fp", F.explode(F.array(*values)).alias("value"))
+
+
+def _tiles(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Fingerprints in order of their blocks' values, cut into tiles: lo, hi, first, body.
+
+    The range exchange deals equal parts, so a value that many share is several tiles.
+    """
+    n = distinct.count() * (radius + 1)
     size = max(tile, -(-n // MOST_TILES))
-    parts = distinct.withColumn("pc", F.bit_count("fp")).repartitionByRange(
-        max(1, -(-n // size)), "pc", "fp"
-    )
+    rows = _block_values(distinct, radius).withColumn("pc", F.bit_count("fp"))
+    parts = rows.repartitionByRange(max(1, -(-n // size)), "value", "pc", "fp")
 
     def cut(batches):
-        kept = [b.column("fp").to_numpy() for b in batches]
-        fps = np.concatenate(kept) if kept else np.empty(0, dtype=np.int64)
-        if len(fps):
-            counts = np.bitwise_count(fps.view(np.uint64))
-            fps = fps[np.lexsort((fps, counts))]
+        kept = [(b.column("value").to_numpy(), b.column("fp").to_numpy()) for b in batches]
+        if sum(len(fps) for _, fps in kept):
+            values, fps = (np.concatenate(k) for k in zip(*kept))
+            order = np.lexsort((fps, np.bitwise_count(fps.view(np.uint64)), values))
+            body = np.stack([values[order], fps[order]]).astype("<i8")
             yield pa.RecordBatch.from_pydict(
                 {
-                    "lo": pa.array([int(counts.min())], pa.int32()),
-                    "hi": pa.array([int(counts.max())], pa.int32()),
-                    "first": pa.array([int(fps[0])], pa.int64()),
-                    "body": pa.array([fps.astype("<i8").tobytes()], pa.binary()),
+                    "lo": pa.array(body[0, :1], pa.int64()),
+                    "hi": pa.array(body[0, -1:], pa.int64()),
+                    "first": pa.array(body[1, :1], pa.int64()),
+                    "body": pa.array([body.tobytes()], pa.binary()),
                 }
             )
 
-    return written(
-        parts.select("fp").mapInArrow(cut, "lo int, hi int, first long, body binary"), "tiles"
-    )
+    schema = "lo long, hi long, first long, body binary"
+    return written(parts.select("value", "fp").mapInArrow(cut, schema), "tiles")
 
 
 def tile_links(left: np.ndarray, right: np.ndarray, radius: int = RADIUS) -> tuple:
@@ -125,26 +143,19 @@ def _stars(rows: np.ndarray, columns: np.ndarray, n: int) -> np.ndarray:
             return root
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between fingerprints that connect whatever is within the radius.
-
-    Tiles stand in order of population counts.  A pair of tiles is compared only if
-    its counts come within the radius; such partners of a tile are neighbours in
-    that order.  Of each pair's matches only a star for each connected group is
-    returned, so the links are no more than the fingerprints that were compared.
-    """
-    tiles = _tiles(distinct, tile)
-    bounds = tiles.select("lo", "hi", "first").orderBy("lo", "hi", "first").collect()
+def _meetings(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Tiles that meet: i, j, and their bodies, one row for each of them."""
+    tiles = _tiles(distinct, radius, tile).withColumn("pc", F.bit_count("first"))
+    bounds = tiles.select("lo", "hi", "pc", "first").orderBy("lo", "pc", "first").collect()
     lo = np.array([b["lo"] for b in bounds], dtype=np.int64)
     hi = np.array([b["hi"] for b in bounds], dtype=np.int64)
-    ends = [int(np.searchsorted(lo, h + radius, "right")) - 1 for h in hi]
-    starts = [int(np.searchsorted(hi, low - radius, "left")) for low in lo]
-    spark = distinct.sparkSession
-    plan = spark.createDataFrame(
-        [(b["first"], i, starts[i], ends[i]) for i, b in enumerate(bounds)],
-        "first long, tile int, from_tile int, to_tile int",
+    ends = np.searchsorted(lo, hi, "right") - 1
+    starts = np.searchsorted(hi, lo, "left")
+    plan = distinct.sparkSession.createDataFrame(
+        [(b["lo"], b["first"], i, int(starts[i]), int(ends[i])) for i, b in enumerate(bounds)],
+        "lo long, first long, tile int, from_tile int, to_tile int",
     )
-    placed = tiles.join(F.broadcast(plan), "first")
+    placed = tiles.join(F.broadcast(plan), ["lo", "first"])
     as_left = placed.select(
         F.col("tile").alias("i"), F.explode(F.sequence("tile", "to_tile")).alias("j"), "tile", "body"
     )
@@ -154,20 +165,39 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
         "tile",
         "body",
     )
+    return as_left.union(as_right)
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between fingerprints that connect whatever is within the radius.
+
+    Of radius + 1 blocks of bits two such fingerprints share one at least.  So only those
+    with an equal block are compared, bit by bit: tiles stand in order of the blocks'
+    values, and a tile meets itself and those that go on with its last value.  Of each
+    pair's matches only a star for each connected group is returned, so the links are no
+    more than the fingerprints that were compared.
+    """
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        bodies = [np.frombuffer(b, dtype="<u8") for b in group.sort_values("tile")["body"]]
-        rows, columns = tile_links(bodies[0], bodies[-1], radius)
-        fps = bodies[0]
+        bodies = [np.frombuffer(b, dtype="<i8").reshape(2, -1) for b in group.sort_values("tile")["body"]]
+        (left, fps), (right, there) = bodies[0], bodies[-1]
+        rows, columns = [], []
+        for value in np.intersect1d(left, right):
+            (a, b), (c, d) = (np.searchsorted(v, [value, value + 1]) for v in (left, right))
+            r, k = tile_links(fps[a:b].view("<u8"), there[c:d].view("<u8"), radius)
+            rows.append(r + a)
+            columns.append(k + c)
+        rows, columns = (np.concatenate(k or [[]]).astype(int) for k in (rows, columns))
         if len(bodies) > 1:
             columns = columns + len(fps)
-            fps = np.concatenate(bodies)
-        root = _stars(rows, columns, len(fps))
+            fps = np.concatenate([fps, there])
+        # A fingerprint is there once for each of its blocks; one root leads all of these.
+        fps, node = np.unique(fps, return_inverse=True)
+        root = _stars(node[rows], node[columns], len(fps))
         apart = np.flatnonzero(root != np.arange(len(fps)))
-        signed = fps.view("<i8")
-        return pd.DataFrame({"a": signed[root[apart]], "b": signed[apart]}, dtype="int64")
+        return pd.DataFrame({"a": fps[root[apart]], "b": fps[apart]}, dtype="int64")
 
-    return as_left.union(as_right).groupBy("i", "j").applyInPandas(compare, "a long, b long")
+    return _meetings(distinct, radius, tile).groupBy("i", "j").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(

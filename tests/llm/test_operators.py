@@ -404,6 +404,44 @@ def test_tiles_find_all_pairs():
     assert set(zip(rows.tolist(), columns.tolist())) == want
 
 
+def test_links_compare_only_what_shares_a_block(spark):
+    rng = np.random.default_rng(0)
+    fps = rng.integers(-(1 << 63), 1 << 63, 20_000)
+    # One hot block value over several tiles, and copies at a distance of 4 and 5 bits.
+    fps[:3000] &= ~np.int64(0xFFF)
+    far = fps[5000:5200] ^ np.int64((1 << 3) | (1 << 20) | (1 << 33) | (1 << 45))
+    fps = np.unique(np.concatenate([fps, far, far ^ np.int64(1 << 60)]))
+    df = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    met = simhash._meetings(df, 4, 512).select("i", "j").distinct().count()
+    tiles = 5 * len(fps) / 512
+    assert met < 2 * tiles  # not a share of all pairs of tiles
+    found = simhash.links(df, 4, 512).collect()
+    root = {int(f): int(f) for f in fps}
+
+    def top(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in found:
+        assert a != b
+        root[max(top(a), top(b))] = min(top(a), top(b))
+    bits = fps.view(np.uint64)
+    want = {int(f): int(f) for f in fps}
+
+    def end(f):
+        while want[f] != f:
+            f = want[f]
+        return f
+
+    for i in range(0, len(fps), 500):
+        r, c = np.nonzero(np.bitwise_count(bits[i : i + 500, None] ^ bits[None]) <= 4)
+        for a, b in zip(fps[r + i].tolist(), fps[c].tolist()):
+            root_a, root_b = end(a), end(b)
+            want[max(root_a, root_b)] = min(root_a, root_b)
+    assert {f: top(f) for f in root} == {f: end(f) for f in want}
+
+
 # ------------------------------------------------------------------------- licences
 
 
