@@ -4,6 +4,7 @@ import random
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -156,3 +157,33 @@ def test_large_nodes_that_common_slices_do_not_part(spark, tmp_path, monkeypatch
     grown = forest.grow_forest(table(spark, rows), INPUTS, str(tmp_path / "s"), trees=9, few=200)
     p = scored(grown, table(spark, rows))
     assert sum((p[r[0]] >= 0.5) == bool(r[3]) for r in rows) >= 1990
+
+
+def test_slices_of_a_row_are_found_once_for_all_trees(monkeypatch):
+    rng = np.random.default_rng(6)
+    rows, trees = 3000, 30
+    x, y = rng.random((rows, 2)), rng.integers(0, 2, rows).astype(np.int32)
+    edges = [np.unique(rng.random(50)) for _ in INPUTS]
+    ends = pa.array(np.arange(rows + 1, dtype=np.int32) * 2)
+    batch = pa.RecordBatch.from_pydict({
+        "x": pa.ListArray.from_arrays(ends, pa.array(x.ravel())), "y": pa.array(y),
+        "w": pa.array(np.ones(rows)), "row": pa.array(np.arange(rows)),
+    })
+
+    class Table:
+        def mapInArrow(self, run, schema):
+            return list(run(iter([batch])))
+
+    looked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, *rest: looked.append(len(a)) or search(a, *rest))
+    tops = {tree: forest._Top() for tree in range(trees)}
+    found = forest._sums(Table(), tops, [(tree, 0) for tree in tops], [edges], 2, 42)
+    assert sum(n == len(edges[0]) for n in looked) <= 2 * len(INPUTS)  # once for each tree before
+    for part in found:
+        tree = part.column("tree")[0].as_py()
+        sums = np.frombuffer(part.column("sums")[0].as_py()).reshape(2, forest.SLICES, 4)
+        times = forest._drawn(forest._hashed(np.arange(rows)), tree, 42)
+        for f in range(2):
+            slices = search(edges[f], x[:, f])
+            for k, each in enumerate((times > 0, (times > 0) * y, times * y, times)):
+                assert (sums[f, :, k] == np.bincount(slices, each, forest.SLICES)).all()
